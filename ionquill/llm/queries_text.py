@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ionquill.llm import bpe, packing, simhash
+from ionquill.llm import bpe, imatch, packing, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,3 +27,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
         pattern=public_tokenizers.PATTERN,
     )
+
+
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edit_likeness(documents(spark, sf_dir))

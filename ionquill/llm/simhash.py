@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionquill.llm.components import components
@@ -262,3 +262,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
     return each.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 3) -> DataFrame:
+    """``docs``, with all their columns, less the near duplicates: of each group the row with the least id stays.
+
+    Rows that share an id are one document, of which the first by its text's hash
+    stays. A row with a null id can't be told from others and always stays.
+    """
+    groups = near_groups(docs, id_col, text_col, words, limit)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    known = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    one = known.withColumn("__nth", nth).where(F.col("__nth") == 1).drop("__nth")
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -1,0 +1,91 @@
+import datetime
+import random
+
+import pytest
+
+from ionquill.llm import pseudonyms as ps
+
+TOOL = ps.Pseudonyms(b"test key")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_feistel_is_a_permutation(n):
+    cipher = ps.Feistel(b"k")
+    image = [cipher.permute(x, n, "t") for x in range(n)]
+    assert sorted(image) == list(range(n))
+    assert [cipher.permute(y, n, "t", back=True) for y in image] == list(range(n))
+    if n > 90:
+        assert image != [ps.Feistel(b"other").permute(x, n, "t") for x in range(n)] != [cipher.permute(x, n, "u") for x in range(n)]
+
+
+def test_large_domains():
+    cipher, n = ps.Feistel(b"k"), 36**300
+    x = 12345678901234567890**14
+    assert cipher.permute(cipher.permute(x, n, "t"), n, "t", back=True) == x
+
+
+VALUES = {
+    "email": ["the.72@mail3.example.com", "éreux.09@mail2.example.com", "DIE.55@MAIL4.EXAMPLE.COM", "a+b_c@x-y.org"],
+    "ip": ["97.51.17.173", "8.8.8.8", "255.0.10.1"],
+    "phone": ["+1 (017) 555-7713", "+1 (974) 555-3436", "(212) 555-0123", "212-555-0123", "+49 30 901820123"],
+    "card": ["4539578763621486", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005"],
+    "ssn": ["123-45-6789", "899-99-9999"],
+    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"],
+    "date": ["1987-06-05", "05.06.1987", "12/31/1999", "31/12/1999", "2000/02/29"],
+    "secret": ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', "password: hunter2hunter2"],
+}
+
+
+@pytest.mark.parametrize("kind,value", [(k, v) for k, vs in VALUES.items() for v in vs])
+def test_values_are_replaced_in_their_format(kind, value):
+    text = f"Start {value} end, again: {value}!!\n{value}"
+    new, found = TOOL.replace(text)
+    assert dict(found) == {kind: 3}
+    assert value not in new and len(new) == len(text)
+    made = new[6 : 6 + len(value)]
+    assert new == f"Start {made} end, again: {made}!!\n{made}"
+    assert TOOL.replace(new)[1] == found and TOOL.restore(new) == text
+    shape = lambda s: [("d" if c.isdigit() else c) for c in s]
+    if kind in ("ip", "phone", "card", "ssn", "date"):
+        assert shape(made) == shape(value)
+    if kind == "card":
+        digits = "".join(c for c in made if c.isdigit())
+        assert ps.luhn_digit(digits[:-1]) == digits[-1]
+    if kind == "iban":
+        solid = made.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in solid[4:] + solid[:4])) % 97 == 1
+
+
+def test_case_and_separators_stay_linked():
+    low, up = TOOL.replace("a.b77@mail.example.org")[0], TOOL.replace("A.B77@MAIL.EXAMPLE.ORG")[0]
+    assert low == up.lower()
+    bare, spaced = TOOL.replace("4111111111111111")[0], TOOL.replace("4111 1111 1111 1111")[0]
+    assert bare == spaced.replace(" ", "")
+    days = [TOOL.replace(v)[0] for v in ("1987-06-05", "05.06.1987", "06/05/1987")]
+    parsed = [datetime.datetime.strptime(d, f).date() for d, f in zip(days, ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y"))]
+    assert len(set(parsed)) == 1
+
+
+@pytest.mark.parametrize("text", [
+    "", "No values, none at all.", "4539578763621487 fails its check", "300.1.2.3", "Version 2.0", "1999-02-30", "31.04.2000", "DE89370400440532013001",
+    "page 12345 of 678", "000-12-3456", "3.14159265358979", "a@b", "ratio 10/20", "tokens were counted", "1234567", "Licensed under CC BY-NC 4.0.", "!!! $$$ *** @@",
+])
+def test_clean_texts_stay(text):
+    assert TOOL.replace(text) == (text, {})
+
+
+def test_neighbours_are_both_found():
+    new, found = TOOL.replace("4111111111111111 4539578763621486 x@mail.example.com,97.51.17.173.")
+    assert dict(found) == {"card": 2, "email": 1, "ip": 1}
+
+
+def test_documents(spark):
+    rnd = random.Random(2)
+    rows = [(1, None, "x"), (2, "", "y"), (3, "mail the.72@mail3.example.com", None), (3, "mail the.72@mail3.example.com", None), (None, "plain", "z")]
+    rows += [(k, "word " * rnd.randint(1, 20000) + "97.51.17.173", "long") for k in (10, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_found string")
+    got = ps.pseudonymised(docs, b"test key", count_col="n").collect()
+    want = [(i, t if t is None else TOOL.replace(t)[0], x, 0 if t is None else sum(TOOL.replace(t)[1].values())) for i, t, x in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert ps.pseudonymised(docs, b"test key").columns == docs.columns
+    assert ps.pseudonymised(docs.limit(0), b"test key").count() == 0
