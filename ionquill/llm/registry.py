@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ionquill.llm import queries_docs as rows
+from ionquill.llm import queries_pages as pages
 from ionquill.llm import queries_text as text
 
 QUERIES = {
@@ -14,6 +15,8 @@ QUERIES = {
     "op6_bitsliced_topk": rows.op6_bitsliced_topk,
     "op7_imatch": text.op7_imatch,
     "op8_packing": text.op8_packing,
+    "op9_url_filter": pages.op9_url_filter,
+    "op10_archives": pages.op10_archives,
 }
 
 SQL = {"op6_bitsliced_topk": rows.OP6_SQL}
