@@ -18,11 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionquill.operators.learning import linear_score
-from ionquill.operators.statistics import q_values
-
-
-def _accepted(df: DataFrame, score: Column, fdr: float) -> DataFrame:
-    return q_values(df.withColumn("__score", score), "__score", F.col("Label") == 1, "__q").withColumn("__in", (F.col("Label") == 1) & (F.col("__q") <= fdr))
+from ionquill.operators.statistics import q_values, score_cut
+from ionquill.storage import stored
 
 
 def best_feature(df: DataFrame, features: list[str], fdr: float, shortlist: int = 2) -> tuple[str, int]:
@@ -37,7 +34,9 @@ def best_feature(df: DataFrame, features: list[str], fdr: float, shortlist: int
     best = (-1, features[0], 1)
     for f in sorted(features, key=lambda f: -abs(apart[f]))[:shortlist]:
         way = 1 if apart[f] >= 0 else -1
-        n = _accepted(df.select("Label", f), F.col(f) * way, fdr).agg(F.count_if("__in")).first()[0]
+        own = df.select("Label", (F.col(f) * way).alias("__score"))
+        cut = score_cut(own, "__score", F.col("Label") == 1, fdr)
+        n = 0 if cut is None else own.where((F.col("__score") >= cut) & (F.col("Label") == 1)).count()
         best = max(best, (n, f, way), key=lambda x: x[0])
     return best[1], best[2]
 
@@ -55,8 +54,11 @@ def train(df: DataFrame, features: list[str], fdr: float, rounds: int) -> tuple[
     weights, bias = [float(way) if f == first else 0.0 for f in features], 0.0
     assembler = VectorAssembler(inputCols=features, outputCol="__x")
     for _ in range(rounds):
-        marked = _accepted(df.select("Label", *features), linear_score(features, [(weights, bias)]), fdr)
-        chosen = marked.where(F.col("__in") | (F.col("Label") == -1)).withColumn("__y", (F.col("Label") == 1).cast("double"))
+        marked = df.select("Label", *features, linear_score(features, [(weights, bias)]).alias("__score"))
+        cut = score_cut(marked, "__score", F.col("Label") == 1, fdr)
+        if cut is None:
+            break
+        chosen = marked.where((F.col("__score") >= cut) | (F.col("Label") == -1)).withColumn("__y", (F.col("Label") == 1).cast("double"))
         counts = {r["__y"]: r["count"] for r in chosen.groupBy("__y").count().collect()}
         if len(counts) < 2:
             break
@@ -89,12 +91,14 @@ def rescored(psms: DataFrame, features: list[str], group: list[str], folds: int
     """Adds ``score``, ``qValue`` and ``postErrProb`` to PSMs with a ``Label`` of 1 or -1.
 
     Null features count as their mean. ``group`` names the columns that keep rows
-    in one fold. Scaled features stay cached (in memory or on disk) for the rounds.
+    in one fold. Scaled features are written to the shared folder once, so that no
+    round plans or works out the features again.
     """
     scaled, mean, _ = _scaled(psms, features)
     filled = psms.fillna(dict(zip(features, mean, strict=True)))
     keep = [c for c in psms.columns if c not in features]
-    data = filled.select(*keep, *scaled, F.pmod(F.xxhash64(*group), F.lit(folds)).alias("__fold"), *[F.col(f).alias(f"__raw_{f}") for f in features]).persist()
+    data = filled.select(*keep, *scaled, F.pmod(F.xxhash64(*group), F.lit(folds)).alias("__fold"), *[F.col(f).alias(f"__raw_{f}") for f in features])
+    data = stored(data, "rescoring")
     score = F.lit(None).cast("double")
     for k in range(folds):
         weights, bias = train(data.where(F.col("__fold") != k), features, fdr, rounds)

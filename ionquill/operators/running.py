@@ -1,50 +1,61 @@
 """Running totals and minima over a whole table's order, without one task that reads it all.
 
 Values are cut into ranges at approximate quantiles. Each range gets its own
-window; what the ranges before it hold is a second, tiny window over one row a
-range. Equal values always share a range, and count as one place in the order.
+window, and what the ranges before it hold is added to it: one number a range,
+which the driver adds up. Equal values always share a range, and count as one
+place in the order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 256
 
 
+def _constant(numbers: list[float]) -> Column:
+    """A constant array: one text, which is folded once, since hundreds of literals are slow to plan."""
+    return F.split(F.lit(",".join(repr(float(x)) for x in numbers)), ",").cast("array<double>")
+
+
 def with_range(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
     """Adds ``__range``, which rises with ``value``."""
-    at = [k / ranges for k in range(1, ranges)]
+    at = F.split(F.lit(",".join(str(k / ranges) for k in range(1, ranges))), ",").cast("array<double>")
     bounds = df.agg(F.percentile_approx(value, at, 10_000).alias("b")).first()["b"] or []
     bounds = sorted({b for b in bounds if b is not None})
     if not bounds:
         return df.withColumn("__range", F.lit(0))
-    held = F.array(*map(F.lit, bounds)) if len(bounds) < 3 else F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
-    return df.withColumn("__range", F.size(F.filter(held, lambda b: b < F.col(value).cast("double"))))
+    return df.withColumn("__range", F.size(F.filter(_constant(bounds), lambda b: b < F.col(value).cast("double"))))
 
 
 def running(df: DataFrame, value: str, descending: bool, sums: dict[str, str] | None = None, minima: dict[str, str] | None = None, ranges: int = RANGES) -> DataFrame:
     """Adds running sums and minima of columns, from one end of the order of ``value`` up to each row and its ties.
 
-    ``sums`` and ``minima`` give new names their columns.
+    ``sums`` and ``minima`` give new names their columns; results are doubles.
+    A table that ``with_range`` has cut already is taken as it is.
     """
     sums, minima = sums or {}, minima or {}
-    cut = with_range(df, value, ranges)
-    order = F.desc(value) if descending else F.asc(value)
-    far = F.desc("__range") if descending else F.asc("__range")
-    inside = Window.partitionBy("__range").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy(far).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy("__range").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()], *[F.min(c).alias(f"__m_{n}") for n, c in minima.items()])
-    earlier = totals.select(
-        "__range",
-        *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in sums],
-        *[F.min(f"__m_{n}").over(before).alias(f"__m_{n}") for n in minima],
-    )
-    joined = cut.join(F.broadcast(earlier), "__range")  # at most one row a range
-    new = {n: F.sum(c).over(inside) + F.col(f"__s_{n}") for n, c in sums.items()}
-    new |= {n: F.least(F.min(c).over(inside), F.col(f"__m_{n}")) for n, c in minima.items()}
-    return joined.select(*df.columns, *[c.alias(n) for n, c in new.items()])
+    cut = df if "__range" in df.columns else with_range(df, value, ranges)
+    per = cut.groupBy("__range").agg(*[F.sum(c).alias(f"s_{n}") for n, c in sums.items()], *[F.min(c).alias(f"m_{n}") for n, c in minima.items()]).collect()  # at most one row a range
+    held = {r["__range"]: r for r in per}
+    order = sorted(held, reverse=descending)
+    inside = Window.partitionBy("__range").orderBy(F.desc(value) if descending else F.asc(value)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def before(name: str, start: float, join) -> Column:
+        so_far = list(accumulate([held[k][name] for k in order], join, initial=start))[:-1]
+        table = [0.0] * (max(order, default=0) + 1)
+        for k, x in zip(order, so_far, strict=True):
+            table[k] = x
+        return F.get(_constant(table), F.col("__range"))
+
+    least = lambda a, b: a if b is None else min(a, float(b))
+    new = {n: F.sum(F.col(c).cast("double")).over(inside) + before(f"s_{n}", 0.0, lambda a, b: a + float(b or 0)) for n, c in sums.items()}
+    new |= {n: F.least(F.min(F.col(c).cast("double")).over(inside), before(f"m_{n}", math.inf, least)) for n, c in minima.items()}
+    return cut.select(*df.columns, *[c.alias(n) for n, c in new.items()])
 
 
 def exact_quantile_nearest(df: DataFrame, value: str, q: float) -> float | None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ionquill.operators.relational import top_k
-from ionquill.operators.running import running
+from ionquill.operators.running import running, with_range
 
 # Target and decoy
 
@@ -22,12 +22,22 @@ def q_values(df: DataFrame, score: str, is_target: Column, name: str = "qValue")
     Rows of one score share a cut-off. Ratios are at most 1, and 1 where a
     cut-off has no target.
     """
-    sides = df.withColumn("__t", is_target.cast("long"))
+    cut = running(_fdr(df, score, is_target), score, False, minima={name: "__fdr"})
+    return df.join(cut.select(score, name), score)
+
+
+def _fdr(df: DataFrame, score: str, is_target: Column) -> DataFrame:
+    """Distinct scores with the decoys-to-targets ratio of a cut-off there, in ranges."""
+    sides = df.select(F.col(score), is_target.cast("long").alias("__t"))
     counts = sides.groupBy(score).agg(F.sum("__t").alias("__nt"), F.sum(1 - F.col("__t")).alias("__nd"))
-    upto = running(counts, score, True, {"__ct": "__nt", "__cd": "__nd"})
+    upto = running(with_range(counts, score), score, True, {"__ct": "__nt", "__cd": "__nd"})
     ratio = F.when(F.col("__ct") > 0, F.least(F.lit(1.0), F.col("__cd") / F.col("__ct"))).otherwise(1.0)
-    held = running(upto.withColumn("__fdr", ratio).select(score, "__fdr"), score, False, minima={name: "__fdr"})
-    return df.join(held.select(score, name), score)
+    return upto.select(score, "__range", ratio.alias("__fdr"))
+
+
+def score_cut(df: DataFrame, score: str, is_target: Column, fdr: float) -> float | None:
+    """The least score whose q-value is at most ``fdr``; None where there is none."""
+    return _fdr(df, score, is_target).where(F.col("__fdr") <= fdr).agg(F.min(score)).first()[0]
 
 
 def fdr_curve(df: DataFrame, q: str, cuts: list[float], inclusive: bool = False, **also: Column) -> DataFrame:

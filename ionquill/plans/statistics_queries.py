@@ -174,4 +174,4 @@ def q_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ionquill.operators.rescoring import rescored
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("Label"), *[F.get("embedding", k).cast("double").alias(f"f{k}") for k in range(8)])
-    return rescored(e, [f"f{k}" for k in range(8)], ["vec_id"], rounds=3, fdr=0.3).select("vec_id", "Label", "score", "qValue", "postErrProb")
+    return rescored(e, [f"f{k}" for k in range(8)], ["vec_id"], rounds=2, fdr=0.3).select("vec_id", "Label", "score", "qValue", "postErrProb")
