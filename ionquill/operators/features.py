@@ -59,9 +59,9 @@ def delta_rt(df: DataFrame, fits: DataFrame, source: str = "source") -> DataFram
 
     ``fits`` has ``slope`` and ``intercept`` of files; others take their means, and 0 where there are none.
     """
-    every = fits.agg(F.avg("slope").alias("__s"), F.avg("intercept").alias("__i"))
+    mean_slope, mean_intercept = fits.agg(F.avg("slope")).scalar(), fits.agg(F.avg("intercept")).scalar()
     own = fits.groupBy(source).agg(F.avg("slope").alias("slope"), F.avg("intercept").alias("intercept"))
-    joined = df.join(own, source, "left").join(F.broadcast(every), F.lit(True))
-    slope, intercept = F.coalesce("slope", "__s"), F.coalesce("intercept", "__i")
+    joined = df.join(own, source, "left")
+    slope, intercept = F.coalesce(F.col("slope"), mean_slope), F.coalesce(F.col("intercept"), mean_intercept)
     off = F.abs((slope * F.col("iRT") + intercept - F.col("retentionTime")) / F.nullif(slope, F.lit(0.0)))
-    return joined.withColumn("deltaRT", F.coalesce(off, F.lit(0.0))).drop("slope", "intercept", "__s", "__i")
+    return joined.withColumn("deltaRT", F.coalesce(off, F.lit(0.0))).drop("slope", "intercept")

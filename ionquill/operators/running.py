@@ -14,6 +14,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionquill.functions.arrays import once
+
 RANGES = 256
 
 
@@ -29,7 +31,14 @@ def with_range(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
     bounds = sorted({b for b in bounds if b is not None})
     if not bounds:
         return df.withColumn("__range", F.lit(0))
-    return df.withColumn("__range", F.size(F.filter(_constant(bounds), lambda b: b < F.col(value).cast("double"))))
+    return df.withColumn("__range", _place(bounds, F.col(value).cast("double")))
+
+
+def _place(bounds: list[float], value: Column, step: int = 16) -> Column:
+    """How many sorted bounds are below a value: first among every ``step``-th, then among the few after that one."""
+    fine, coarse = _constant(bounds), _constant(bounds[step - 1 :: step] or [math.inf])
+    below = lambda some: F.size(F.filter(some, lambda b: b < value))
+    return once(below(coarse), lambda k: k * step + below(F.slice(fine, k * step + 1, F.lit(step))))
 
 
 def running(df: DataFrame, value: str, descending: bool, sums: dict[str, str] | None = None, minima: dict[str, str] | None = None, ranges: int = RANGES) -> DataFrame:

@@ -65,9 +65,9 @@ def picked_proteins(df: DataFrame, proteins: Column, score: str, is_target: Colu
 def bh_adjusted(df: DataFrame, p: str, name: str = "pAdjusted") -> DataFrame:
     """Adds Benjamini-Hochberg adjusted p-values; null p-values stay null and don't count."""
     counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    ranked = running(counts, p, False, {"__rank": "__n"}).join(F.broadcast(total), F.lit(True))
-    raw = ranked.select(p, (F.col(p) * F.col("__total") / F.col("__rank")).alias("__raw"))
+    total = counts.agg(F.sum("__n")).scalar()
+    ranked = running(with_range(counts, p), p, False, {"__rank": "__n"})
+    raw = ranked.select(p, "__range", (F.col(p) * total / F.col("__rank")).alias("__raw"))
     held = running(raw, p, True, minima={"__adj": "__raw"}).select(p, F.least(F.col("__adj"), F.lit(1.0)).alias(name))
     return df.join(held, p, "left")
 
@@ -154,8 +154,8 @@ def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
 def medians_equalised(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """Adds ``value`` less its group's median plus the median of all values."""
     own = df.groupBy(group).agg(F.median(value).alias("__own"))
-    every = df.agg(F.median(value).alias("__every"))
-    return df.join(own, group).join(F.broadcast(every), F.lit(True)).withColumn(name, F.col(value) - F.col("__own") + F.col("__every")).drop("__own", "__every")
+    every = df.agg(F.median(value)).scalar()
+    return df.join(own, group).withColumn(name, F.col(value) - F.col("__own") + every).drop("__own")
 
 
 def z_scores(df: DataFrame, keys: list[str], value: str, name: str = "z") -> DataFrame:

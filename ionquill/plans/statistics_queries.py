@@ -34,7 +34,7 @@ def q_fdr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fdr_curve(out, "q_value", [c / 100 for c in range(1, 31)], n_targets=F.col("quality") == 1)
 
 
-@query("SELECT event_id, event_type, round(l - m + a, 6) AS normalised FROM (SELECT event_id, event_type, log2(value) AS l FROM events) JOIN (SELECT event_type, median(log2(value)) AS m FROM events GROUP BY 1) USING (event_type), (SELECT median(log2(value)) AS a FROM events)")
+@query("SELECT event_id, event_type, round(l - m + a, 6) AS normalised FROM (SELECT event_id, event_type, log2(nullif(value, 0)) AS l FROM events) JOIN (SELECT event_type, median(log2(nullif(value, 0))) AS m FROM events GROUP BY 1) USING (event_type), (SELECT median(log2(nullif(value, 0))) AS a FROM events)")
 def q_median_equalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.log2("value").alias("l"))
     return S.medians_equalised(e, "event_type", "l", "normalised").select("event_id", "event_type", F.round("normalised", 6).alias("normalised"))
