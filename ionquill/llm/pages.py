@@ -47,6 +47,8 @@ HINTS = frozenset(
 HEADER = frozenset(("header", "head"))
 COMMENTS = frozenset("comment comments commentlist discussion replies reply respond disqus".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: How an element bars its text: by what it is, by its name, as readers' talk, or all but headings.
+HARD, NAMED, TALK, ONLY_HEADINGS = 1, 2, 3, 4
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -55,38 +57,39 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int]] = []  # name, number, bar: 0 free, 1 barred, 2 only headings
+        self.open: list[tuple[str, int, int, int]] = []  # name, number, bar, bars by name that it lifts
         self.path: tuple[int, ...] = ()
         self.born = 0
         self.kind: dict[int, str] = {}
         self.buffer: list[str] = []
-        self.tags = self.linked = self.links = self.bars = self.headers = self.headings = 0
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.tags = self.linked = self.links = self.headings = 0
+        self.bars = [0, 0, 0, 0, 0]  # how many open elements have each bar
+        self.lines: list[tuple[str, int, int, int, tuple[int, ...]]] = []
 
     def cut(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text or self.tags:
-            barred = self.bars > 0 or (self.headers > 0 and not self.headings)
-            self.lines.append((text, self.tags, self.linked, barred, self.path))
+            barred = self.bars[HARD] or self.bars[TALK] or (self.bars[ONLY_HEADINGS] and not self.headings)
+            self.lines.append((text, self.tags, self.linked, HARD if barred else NAMED if self.bars[NAMED] else 0, self.path))
         self.buffer.clear()
         self.tags = self.linked = 0
 
     def _bar(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in BARRED:
-            return 1
+            return HARD
         if tag in ("html", "body", "main"):
             return 0
         given = dict(attrs)
         if "hidden" in given or (given.get("aria-hidden") or "").lower() == "true" or (given.get("role") or "").lower() in ROLES:
-            return 1
+            return HARD
         if "display:none" in (given.get("style") or "").replace(" ", "").lower():
-            return 1
+            return HARD
         words = {w.lower() for name in ("class", "id") if given.get(name) for w in _WORDS.findall(given[name])}
-        if words & (COMMENTS if tag == "article" else HINTS):
-            return 1
+        if words & COMMENTS:
+            return TALK
         if tag == "header" or (tag != "article" and tag not in HEADINGS and words & HEADER):
-            return 2 if any(name == "article" for name, *_ in self.open) else 1
-        return 0
+            return ONLY_HEADINGS if any(name == "article" for name, *_ in self.open) else HARD if tag == "header" else NAMED
+        return NAMED if tag != "article" and words & HINTS else 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCK
@@ -101,9 +104,11 @@ class _Lines(HTMLParser):
             return
         bar = self._bar(tag, attrs)
         self.born += 1
-        self.open.append((tag, self.born, bar))
-        self.bars += bar == 1
-        self.headers += bar == 2
+        # a frame may be named after what stands beside the article; its article or main part is content all the same
+        lifted = self.bars[NAMED] if tag in ("article", "main") else 0
+        self.bars[NAMED] -= lifted
+        self.open.append((tag, self.born, bar, lifted))
+        self.bars[bar] += 1
         self.headings += tag in HEADINGS
         self.links += tag == "a"
         if block:
@@ -123,9 +128,9 @@ class _Lines(HTMLParser):
 
     def _pop_to(self, k: int) -> None:
         while len(self.open) > k:
-            name, _, bar = self.open.pop()
-            self.bars -= bar == 1
-            self.headers -= bar == 2
+            name, _, bar, lifted = self.open.pop()
+            self.bars[bar] -= 1
+            self.bars[NAMED] += lifted
             self.headings -= name in HEADINGS
             self.links -= name == "a"
             if name in BLOCK:
@@ -169,16 +174,16 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.25, linked: f
     parser.close()
     parser.cut()
     lines = parser.lines
-    if not lines:
+    if not any(line[0] and not line[3] for line in lines):
+        # all text is in elements whose names bar it: one of them must frame the content
+        lines = [(*line[:3], line[3] == HARD, line[4]) for line in lines]
+    if not any(line[0] and not line[3] for line in lines):
         return ""
     ratio = np.array([0.0 if barred else max(0, len(text) - links) / max(1, tags) for text, tags, links, barred, _ in lines])
     smooth = _smoothed(ratio, sigma)
     dense = smooth >= min(smooth.std(), smooth.max())
     chosen = [k for k, line in enumerate(lines) if line[0] and not line[3] and dense[k]]
-    if not chosen:
-        chosen = [k for k, line in enumerate(lines) if line[0] and not line[3]]
-    if not chosen:
-        return ""
+    chosen = chosen or [k for k, line in enumerate(lines) if line[0] and not line[3]]
 
     def around(path: tuple[int, ...], names: tuple[str, ...]) -> int | None:
         return next((e for e in path if parser.kind[e] in names), None)

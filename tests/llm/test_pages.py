@@ -49,6 +49,9 @@ def test_pages_without_an_article_element(seed):
     ("<article>a &eacute;&#x2014;&nbsp;b\n  c</article>", "a é— b c"), ("<article><p>one<br>two</p><ul><li>x<li>y</ul></article>", "one two\n\nx\n\ny"),
     ("</div></p><article><p>x</b></p></div></article>", "x"), ("<article><table><tr><td>a<td>b<tr><td>c</table></article>", "a b\n\nc"),
     ("<main><p>t</p><div hidden>no</div><div style='display: none'>no</div></main>", "t"),
+    ("<div class='with-sidebar'><article><p>x</p><div class='ad'>no</div></article><div class='sidebar'>no</div></div>", "x"),
+    ("<div class='wrap sidebar-left'><p>x y z</p></div>", "x y z"), ("<div id='comments'><article><p>talk</p></article></div><p>own</p>", "own"),
+    ("<div class='sidebar'><main><p>x</p></main>no</div>", "x"), ("<article><div class='post-header'><h1>T</h1><span>by me</span></div><p>x</p></article>", "T\n\nx"),
     ("<article><header><h1>T</h1><p>by me</p></header><p>x</p></article>", "T\n\nx"),
 ])
 def test_small_pages(html, want):
