@@ -2,90 +2,75 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+import re
+from dataclasses import dataclass
 from typing import Any
 
-# Keys of the settings file that steer tools outside this engine; they are read and kept, not used.
-EXTERNAL_KEYS = frozenset(
-    "convertRaw dockerPath fragger fraggerMemory fraggerDbSplits nCores netMHCpan skylineRunner percolatorPath useDocker modelsPath rawFileParser".split()
+# Keys of the settings file that this engine acts on, with their defaults.
+DEFAULTS: dict[str, Any] = {
+    "experimentTitle": None, "outputFolder": None, "searchEngine": None, "scansFolder": None, "scansFormat": None, "searchResults": None,
+    "accessionFormat": None, "accessionKeys": None, "additionalPsms": None, "alleles": None, "baPredictionLimit": 15, "calibratePerFile": True, "collisionEnergy": None,
+    "combinedScansFile": False, "contaminantData": None, "controlFlags": None, "deltaMethod": "ignore", "distillerLog": None, "dropUnknown": False, "dropUnknownPTMs": True,
+    "engineScoreCut": None, "enzyme": None, "epitopeCandidateCutOff": 0.1, "epitopeCutLevel": "psm", "epitopeLengthCutOff": 15, "excludeFeatures": (),
+    "falseDiscoveryRate": 0.01, "filterCysteine": True, "fixedModifications": None, "hostOnlyResults": None, "hostProteome": None, "includeFeatures": None,
+    "inferProteins": False, "mapContaminants": "standard", "ms1Accuracy": 5, "mzAccuracy": 0.02, "mzUnits": "Da", "pathogenProteome": None, "proteinDecoyKey": "rev_",
+    "proteome": None, "quantCutOff": 0.01, "reduce": False, "remapToProteome": False, "replaceIL": False, "rescoreMethod": "percolator", "resultsExport": "psm",
+    "reuseInput": False, "rtFitLoc": None, "scanTitleFormat": None, "skylineIdpCutOff": 0.5, "skylineRatioCutOff": 0.8, "sourceFileName": None, "spectralAngleDfs": None,
+    "spectralPredictor": "prosit", "technicalReplicates": None, "useAccessionStrata": False, "useBindingAffinity": None, "useIrtDelta": True, "useMinimalFeatures": False,
+}
+#: Keys of this engine alone: tables that outside predictors and tools have made.
+OWN = {"predictedSpectra": None, "bindingPredictions": None, "quantReport": None, "samples": None, "splicedPsms": None}
+# Keys that steer outside tools; they are accepted and have no effect here.
+OUTSIDE = frozenset(
+    "accessionFlags deNovoFilterResults forceReload forPisces fraggerMemory fraggerMods fraggerDbSplits fraggerPath fraggerParams fraggerUseContams ms2pipModel mzRange nCores "
+    "netMHCpan panDocker piscesDnEngine plotSpectraSourceSplit rescoreCommand silentExecution skylineConfig skylineReportTemplate skylineRunner skylinePrecursorCountFilter".split()
 )
+REQUIRED = ("experimentTitle", "outputFolder", "searchEngine", "scansFolder", "scansFormat")
+
+
+def snake(name: str) -> str:
+    """``dropUnknownPTMs`` as ``drop_unknown_ptms``."""
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
 
 
 @dataclass(frozen=True)
 class Settings:
-    """One run's choices. Names are those of the settings file in snake case."""
-
-    experiment_title: str
-    output_folder: str
-    search_engine: str
-    scans_folder: str
-    scans_format: str
-    search_results: tuple[str, ...] = ()
-    scan_title_format: str | None = None
-    combined_scan_file: bool = False
-    collision_energy: float | None = None
-    mz_accuracy: float = 0.02
-    mz_units: str = "Da"
-    rescore_method: str = "native"
-    fdr: float = 0.01
-    rescore_rounds: int = 10
-    rescore_folds: int = 3
-    delta_method: str = "none"
-    fixed_modifications: dict[str, int] = field(default_factory=dict)
-    drop_unknown_ptms: bool = True
-    filter_c: bool = False
-    accession_hierarchy: tuple[str, ...] = ()
-    proteome: str | None = None
-    host_proteome: str | None = None
-    pathogen_proteome: str | None = None
-    control_flags: tuple[str, ...] = ()
-    technical_replicates: tuple[tuple[str, ...], ...] = ()
-    quantification_idp: float = 0.5
-    quantification_ratio: float = 0.8
-    epitope_cut_level: str = "psm"
-    candidate_q: float = 0.01
-    candidate_pep: float = 0.1
-    epitope_length_cut_off: int = 15
-    use_binding_affinity: str | None = None
-    exclude_features: tuple[str, ...] = ()
-    include_features: tuple[str, ...] = ()
-    minimal_features: bool = False
-    reuse_input: bool = False
-
-    def __post_init__(self) -> None:
-        if self.mz_units not in ("Da", "ppm"):
-            raise ValueError("mzUnits is Da or ppm")
-        if self.scans_format not in ("mgf", "mzML"):
-            raise ValueError("scansFormat is mgf or mzML")
-        if self.epitope_cut_level not in ("psm", "peptide"):
-            raise ValueError("epitopeCutLevel is psm or peptide")
-        if not 0 < self.fdr < 1:
-            raise ValueError("fdr lies between 0 and 1")
-
-
-def _snake(name: str) -> str:
-    return "".join("_" + c.lower() if c.isupper() else c for c in name).replace("_p_t_ms", "_ptms").replace("filter_c", "filter_c")
+    """One run's choices, by the file's names in snake case: ``settings.mz_accuracy``."""
+
+    values: tuple[tuple[str, Any], ...]
+
+    def __getattr__(self, name: str) -> Any:
+        held = dict(object.__getattribute__(self, "values"))
+        if name in held:
+            return held[name]
+        raise AttributeError(name)
+
+
+def _tuples(value: Any) -> Any:
+    return tuple(_tuples(x) for x in value) if isinstance(value, (list, tuple)) else value
 
 
 def from_dict(given: dict[str, Any]) -> Settings:
-    """Settings from the file's keys; unknown keys are an error, and so are missing required ones."""
-    known = {f.name: f for f in fields(Settings)}
-    own: dict[str, Any] = {}
-    for key, value in given.items():
-        if key in EXTERNAL_KEYS:
-            continue
-        name = _snake(key)
-        if name not in known:
-            raise ValueError(f"unknown setting {key!r}")
-        if isinstance(value, list):
-            value = tuple(tuple(x) if isinstance(x, list) else x for x in value)
-        if name in ("search_results",) and isinstance(value, str):
-            value = (value,)
-        own[name] = value
-    missing = [n for n in ("experiment_title", "output_folder", "search_engine", "scans_folder", "scans_format") if n not in own]
+    """Settings from the file's keys; unknown keys, missing required ones and impossible values are errors."""
+    known = DEFAULTS | OWN
+    unknown = sorted(set(given) - set(known) - OUTSIDE)
+    if unknown:
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    missing = [k for k in REQUIRED if given.get(k) is None]
     if missing:
         raise ValueError(f"missing settings: {', '.join(missing)}")
-    return Settings(**own)
+    own = {k: given.get(k, default) for k, default in known.items()}
+    if isinstance(own["searchResults"], str):
+        own["searchResults"] = [own["searchResults"]]
+    allowed = {"mzUnits": ("Da", "ppm"), "scansFormat": ("mgf", "mzML"), "epitopeCutLevel": ("psm", "peptide"), "resultsExport": ("psm", "peptide")}
+    for key, choices in allowed.items():
+        if own[key] not in choices:
+            raise ValueError(f"{key} is one of {', '.join(choices)}")
+    if not 0 < own["falseDiscoveryRate"] < 1:
+        raise ValueError("falseDiscoveryRate lies between 0 and 1")
+    if own["accessionFormat"] == "invitroSPI" and own["accessionKeys"] is None:
+        own["accessionKeys"] = ["nonspliced", "spliced"]
+    return Settings(tuple((snake(k), _tuples(v)) for k, v in own.items()))
 
 
 def load(path: str) -> Settings:
@@ -97,3 +82,5 @@ def load(path: str) -> Settings:
     if not isinstance(given, dict):
         raise ValueError("the settings file holds no keys")
     return from_dict(given)
+
+

@@ -60,7 +60,7 @@ def msp_record(peptide: Column, charge: Column, energy: Column, irt: Column, ion
     bare = F.regexp_replace(peptide, r"\(ox\)", "")
     before = F.slice(F.split(peptide, r"\(ox\)"), F.lit(1), F.size(F.split(peptide, r"\(ox\)")) - 1)
     places = F.transform(before, lambda x, i: F.length(F.array_join(F.slice(before, F.lit(1), i + 1), "")))
-    mods = F.array_join(F.transform(places, lambda p: F.concat(F.lit("Oxidation@M"), p.cast("string"))), "; ")
+    mods = F.array_join(F.transform(places, lambda p: F.concat(F.lit("Oxidation@M"), (p + 1).cast("string"))), "; ")
     number = F.size(places).cast("string")
     return F.concat(
         F.lit("Name: "), bare, F.lit("/"), charge.cast("string"), F.lit("\nMW: 0.0\nComment: Parent=0.0 Collision_energy="), energy.cast("string"), F.lit(" Mods="), number,

@@ -138,18 +138,19 @@ def read_msp(spark: SparkSession, path: str | list[str], oxidation: str = "(ox)"
     Columns ``peptide``, ``charge``, ``modified_sequence`` (oxidised residues
     followed by ``oxidation``), ``collisionEnergy``, ``iRT``, ``ions`` and
     ``intensities``. Peaks without intensity are dropped; intensities have unit
-    length. Comments of both predictors' dialects are read; where one gives
-    modifications by number and name, positions count from 1.
+    length. Comments of both predictors' dialects are read: ``ModString`` names
+    the residue after the modified one, counted from 1; a comment without it
+    gives places counted from 0.
     """
     blocks = spark.read.option("lineSep", "Name: ").text(path).select(F.col("value").alias("b")).where(F.contains("b", F.lit("Num peaks")))
     b = F.col("b")
     peptide, charge = F.regexp_extract(b, r"^([A-Z]+)/(\d+)", 1), F.regexp_extract(b, r"^([A-Z]+)/(\d+)", 2).cast("int")
     comment = F.regexp_extract(b, r"(?m)^Comment:[ \t]*([^\r\n]*)", 1)
     mods = F.regexp_extract(comment, r"ModString=[A-Z]+//([^/]*)/", 1)
-    at_prosit = F.transform(F.regexp_extract_all(mods, F.lit(r"Oxidation@M(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+    at_prosit = F.transform(F.regexp_extract_all(mods, F.lit(r"Oxidation@M(\d+)"), F.lit(1)), lambda x: x.cast("int") - 1)
     numbered = F.regexp_extract(comment, r"(?:^|\s)Mods=\d+/(\S+)", 1)
     at_numbered = F.transform(F.regexp_extract_all(numbered, F.lit(r"(\d+),[A-Z],Oxidation"), F.lit(1)), lambda x: x.cast("int") + 1)
-    places = F.concat(at_prosit, at_numbered)
+    places = F.when(F.contains(comment, F.lit("ModString=")), at_prosit).otherwise(at_numbered)
     letters = F.filter(F.split(peptide, ""), lambda x: x != "")
     marked = F.array_join(F.transform(letters, lambda r, i: F.when(F.array_contains(places, i + 1), F.concat(r, F.lit(oxidation))).otherwise(r)), "")
     lines = F.filter(F.split(b, r"\r?\n"), lambda x: x.rlike(r"^[0-9.eE+\-]+\s+[0-9.eE+\-]+\s+\""))

@@ -78,13 +78,13 @@ def test_mzml(spark, put):
 
 def test_msp(spark, put):
     text = (
-        "Name: AMK/2\nMW: 0.0\nComment: Parent=0.0 Collision_energy=33.0 Mods=1 ModString=AMK//Oxidation@M2/2 iRT=-7.5\nNum peaks: 3\n0.0\t3.0\t\"y1/0.0ppm\"\n0.0\t4.0\t\"b2^2)/0.0ppm\"\n0.0\t0.0\t\"b1/0.0ppm\"\n"
-        "Name: PEPK/3\nMW: 1.0\nComment: Mods=0 Parent=1.0 MS2PIP_ID=\"peptide_0\"\nNum peaks: 1\n72.04\t18\t\"b1\"\n"
+        "Name: AMK/2\nMW: 0.0\nComment: Parent=0.0 Collision_energy=33.0 Mods=1/2,M,Oxidation ModString=AMK//Oxidation@M3/2 iRT=-7.5\nNum peaks: 3\n0.0\t3.0\t\"y1/0.0ppm\"\n0.0\t4.0\t\"b2^2)/0.0ppm\"\n0.0\t0.0\t\"b1/0.0ppm\"\n"
+        "Name: PEPMK/3\nMW: 1.0\nComment: Mods=1/3,M,Oxidation Parent=1.0 MS2PIP_ID=\"peptide_0\"\nNum peaks: 1\n72.04\t18\t\"b1\"\n"
     )
     a, b = sorted(X.read_msp(spark, put("p.msp", text)).collect(), key=lambda r: r["peptide"])
     assert (a["modified_sequence"], a["charge"], a["collisionEnergy"], a["iRT"], a["ions"]) == ("AM(ox)K", 2, 33.0, -7.5, ["y1", "b2^2"])
     assert a["intensities"] == pytest.approx([0.6, 0.8])
-    assert (b["peptide"], b["charge"], b["ions"], b["intensities"], b["iRT"]) == ("PEPK", 3, ["b1"], [1.0], None)
+    assert (b["modified_sequence"], b["charge"], b["ions"], b["intensities"], b["iRT"]) == ("PEPM(ox)K", 3, ["b1"], [1.0], None)
 
 
 def test_maxquant(spark, put):
