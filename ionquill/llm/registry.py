@@ -19,7 +19,7 @@ QUERIES = {
     "op10_archives": pages.op10_archives,
 }
 
-SQL = {"op6_bitsliced_topk": rows.OP6_SQL}
+SQL = {"op6_bitsliced_topk": rows.OP6_SQL, "op10_archives": pages.OP10_SQL}
 
 
 def queries() -> dict:
