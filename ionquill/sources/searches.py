@@ -180,7 +180,7 @@ def read_mztab(spark: SparkSession, path: str | list[str], spectra: DataFrame |
     run_file = F.regexp_extract("value", r"^MTD\tms_run\[1\]-location\t.*?([^/\\]+)\.[^.]+$", 1)
     runs = lines.where(F.contains("value", F.lit("ms_run[1]-location"))).select("f", run_file.alias("source"))
     cells = lines.where(F.startswith("value", F.lit("PSM\t"))).select("f", F.split("value", "\t").alias("cells"))
-    rows = cells.join(F.broadcast(heads), "f").join(F.broadcast(runs), "f").withColumn("m", F.map_from_arrays("names", "cells"))  # one header line a file
+    rows = cells.join(heads, "f").join(runs, "f").withColumn("m", F.map_from_arrays("names", "cells"))
     at = lambda n: F.try_element_at("m", F.lit(n))
     aa = F.transform(F.split(at("opt_ms_run[1]_aa_scores"), ","), lambda x: x.try_cast("double"))
     rows = rows.select(
