@@ -236,7 +236,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, shards: int,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), shard.alias("shard")).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", shards: int = 96) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Packs every document into sequences of at most ``capacity`` tokens.
 
     One row for each piece: ``doc_id``, ``piece``, ``start``, ``length``,
@@ -245,8 +245,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, rank
     pieces after a first that may be shorter. Repeated rows are packed as often
     as they come; a null id stays null; an empty table gives no rows; other
     columns aren't looked at. What reaches the driver is a count for each length
-    and shard: ``capacity`` x ``shards`` numbers at most.
+    and shard; shards, if not given, are four to a shuffle partition, 4096 at most.
     """
+    if shards is None:
+        shards = max(64, min(4096, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cut = stored(pieces(docs, path, capacity, end_id, shards, ranks_path, pattern, id_col, text_col), "pieces")
     tally = np.zeros((shards, capacity + 1), np.int64)
     for row in cut.groupBy("shard", "length").count().toLocalIterator():
