@@ -50,7 +50,7 @@ def q_source_mgf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("scan", "charge", F.round("retentionTime", 3).alias("rt"), F.size("mzs").alias("n_peaks"), F.round(F.aggregate("intensities", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query("SELECT vec_id AS scan, 3::INTEGER AS charge, 64::INTEGER AS n_peaks, round(list_max(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS top, round(vec_id * 60.0, 1) AS rt FROM embeddings")
+@query("SELECT vec_id AS scan, 3::INTEGER AS charge, 64::INTEGER AS n_peaks, round(list_max(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS top, round(vec_id * 60.0::DOUBLE, 1) AS rt FROM embeddings")
 def q_source_mzml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays as 64-bit floats in base64, packed here by the JVM from the bits of each number."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
