@@ -22,8 +22,8 @@ DEFAULTS: dict[str, Any] = {
 OWN = {"predictedSpectra": None, "bindingPredictions": None, "quantReport": None, "samples": None, "splicedPsms": None}
 # Keys that steer outside tools; they are accepted and have no effect here.
 OUTSIDE = frozenset(
-    "accessionFlags deNovoFilterResults forceReload forPisces fraggerMemory fraggerMods fraggerDbSplits fraggerPath fraggerParams fraggerUseContams ms2pipModel mzRange nCores "
-    "netMHCpan panDocker piscesDnEngine plotSpectraSourceSplit rescoreCommand silentExecution skylineConfig skylineReportTemplate skylineRunner skylinePrecursorCountFilter".split()
+    "accessionFlags deNovoFilterResults forceReload fraggerMemory fraggerMods fraggerDbSplits fraggerPath fraggerParams fraggerUseContams ms2pipModel mzRange nCores "
+    "netMHCpan panDocker plotSpectraSourceSplit rescoreCommand silentExecution skylineConfig skylineReportTemplate skylineRunner skylinePrecursorCountFilter".split()
 )
 REQUIRED = ("experimentTitle", "outputFolder", "searchEngine", "scansFolder", "scansFormat")
 

@@ -21,6 +21,7 @@ from ionquill.constants import AMMONIA, C_TERMINUS, ION_OFFSET, MAX_FRAGMENT_CHA
 from ionquill.functions import arrays as A
 from ionquill.functions import peptides as P
 
+# Names of the features, in the order of the feature table.
 MINIMAL = [
     "spectralAngle", "predCoverage", "matchedCoverage", "minMatchedCoverage", "maxMatchedCoverage", "yIsDominantIonSeries", "bIsDominantIonSeries", "spearmanR", "pearsonR",
     "nMajorNotMatchableDivFrags", "nMinorNotMatchableDivFrags", "maxTypeSpectralAngle", "minTypeSpectralAngle", "spearmanMajorIons", "spearmanMinorIons", "nMajorPredNotFoundDivFrags",

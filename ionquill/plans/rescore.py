@@ -18,6 +18,7 @@ from ionquill.operators.rescoring import rescored
 from ionquill.operators.statistics import fdr_curve, median_slopes, q_values
 from ionquill.sources.tables import best_binding, log_affinity
 
+# Names of the features that need no spectrum.
 BASIC = ["massDiff", "sequenceLength", "engineScore", "deltaScore", "charge", "nVarMods", "missedCleavages", "avgResidueMass", "nRepeatedResidues", "fracUnique", "fracKR", "fracC", "fromChimera", "seqLenMeanDiff", "absMassDiff"]
 #: Columns in which -1 means that there was nothing to measure.
 SENTINELS = ["pearsonR"]
