@@ -73,3 +73,11 @@ def test_stage_finds_copies_that_differ_in_many_bits(spark):
 def test_clusters_follow_chains():
     sets = [np.arange(k, k + 30) for k in (0, 100, 3, 6, 200, 9)]
     assert shingles.clusters(np.array([len(s) for s in sets]), np.concatenate(sets)).tolist() == [0, 1, 0, 0, 4, 0]
+
+
+def test_rows_compete_within_their_group_alone(spark):
+    rnd = random.Random(5)
+    one, two, three = (" ".join(f"z{rnd.randrange(900)}" for _ in range(40)) for _ in range(3))
+    rows = [(None, one), (None, one), (7, two), (7, three), (9, two), (None, three)]
+    got = shingles.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame([(None, one), (7, two), (7, three)], "doc_id long, text string").collect())
