@@ -1,4 +1,4 @@
-"""Groups of texts whose shingle sets have a Jaccard similarity of 0.8 or more, found exactly.
+"""Sets of word shingles, and the exact part of finding those with a Jaccard similarity of 0.8 or more.
 
 A text is known by the set of hashes of its runs of five words; texts of one set
 are copies and go on as one. Two steps leave out sets that can't have a partner,
@@ -6,8 +6,8 @@ neither of which loses a pair: of two sets that alike, the first common hashes
 lie in the first part of both, so a set whose first part is mostly its own is
 left out; of the rest, hashes are put in order of the number of sets that hold
 them, and a pair has one in common among its rarest fifth. Sets that share such
-a hash are linked to the least of them. What these links reach is compared
-set by set in one task, so that all similar pairs are seen.
+a hash are linked to the least of them. What links reach is compared set by set
+in one task, so that all similar pairs are seen.
 """
 
 from __future__ import annotations
@@ -20,19 +20,35 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionquill.llm.components import components
-from ionquill.llm.simhash import TEXTS_AT_ONCE, _shingle_hashes
-from ionquill.llm.storage import stored
-
 WORDS = 5
+TEXTS_AT_ONCE = 256
+
+
+def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
+    """XXH64 of every run of ``words`` words, repeats included; a shorter text is one run, one without words has none."""
+    # bytes.lower() and bytes.split() touch exactly A-Z and the six ASCII white-space bytes
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return []
+    digest = xxhash.xxh64_intdigest
+    if len(tokens) <= words:
+        return [digest(b" ".join(tokens), seed)]
+    runs = zip(*(tokens[i:] for i in range(words)), strict=False)
+    return [digest(run, seed) for run in map(b" ".join, runs)]
+
+
+def as_set(hashes: list[int]) -> np.ndarray:
+    """Sorted distinct hashes, as signed numbers."""
+    return np.unique(np.array(hashes, np.uint64).view(np.int64))
 
 
 def shingle_set(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray:
-    """Sorted distinct hashes of a text's runs of ``words`` words; a shorter text is one run, an empty one none."""
-    return np.unique(np.array(_shingle_hashes(text, words, seed), np.uint64).view(np.int64))
+    """Sorted distinct hashes of a text's runs of ``words`` words."""
+    return as_set(shingle_hashes(text, words, seed))
 
 
-def _digest(own: np.ndarray) -> int:
+def set_key(own: np.ndarray) -> int:
+    """A signed 64-bit name of a set."""
     x = xxhash.xxh64_intdigest(own.tobytes())
     return x - (1 << 64) if x >> 63 else x
 
@@ -51,28 +67,29 @@ def first_part(n):
     return n - least_common(n) + _early(n)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _slices(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
             part = batch.slice(k, TEXTS_AT_ONCE)
-            yield part, [shingle_set(t) for t in part.column(1).to_pylist()]
+            yield part, [shingle_set(t, words) for t in part.column(1).to_pylist()]
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, sets in _slices(batches):
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_digest(s) for s in sets], "int64"), pa.array([len(s) for s in sets], "int64")], names=["row", "key", "n"])
+def _first_parts(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _slices(batches, words):
+            parts = [s[: first_part(len(s))] for s in sets]
+            keys = np.repeat(np.array([set_key(s) for s in sets], np.int64), [len(p) for p in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(parts))], names=["key", "shingle"])
 
+    return run
 
-def _first_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, sets in _slices(batches):
-        parts = [s[: first_part(len(s))] for s in sets]
-        keys = np.repeat(np.array([_digest(s) for s in sets], np.int64), [len(p) for p in parts])
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(parts))], names=["key", "shingle"])
 
+def _whole(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _slices(batches, words):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64())), part.column(2)], names=["key", "own", "fp"])
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, sets in _slices(batches):
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "own"])
+    return run
 
 
 def clusters(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -105,25 +122,34 @@ def clusters(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return label
 
 
-def _settled(table: pa.Table) -> pa.Table:
-    table = table.sort_by("key").combine_chunks()
-    keys, own = table["key"].to_numpy(), pa.concat_arrays(table["own"].chunks)
-    label = clusters(np.diff(own.offsets.to_numpy()), own.flatten().to_numpy())
-    return pa.table({"key": keys, "least": keys[label]})
+def settled(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key`` and ``least``, the first set of its cluster, of every set that ``roots`` (``key``, ``root``) names."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key").combine_chunks()
+        keys, own = table["key"].to_numpy(), pa.concat_arrays(table["own"].chunks)
+        label = clusters(np.diff(own.offsets.to_numpy()), own.flatten().to_numpy())
+        return pa.table({"key": keys, "least": keys[label]})
+
+    return sets.select("key", "own").join(roots, "key").groupBy("root").applyInArrow(lambda table: run(table.select(["key", "own"])), "key long, least long")
 
 
-def _possible(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """``key`` and ``own`` of the sets whose first part doesn't rule out a partner."""
-    counted = rows.mapInArrow(_first_parts, "key long, shingle long").groupBy("shingle").agg(F.min("key").alias("key"), F.max("key").alias("other"))
+def possible(rows: DataFrame, sets: DataFrame, place: list[str], words: int = WORDS) -> DataFrame:
+    """``key``, ``own`` and ``fp`` of the sets whose first part doesn't rule out a partner.
+
+    ``rows`` has the columns ``place`` and ``text``; ``sets`` has ``key``, ``n``,
+    ``fp`` and the place of one of its rows.
+    """
+    counted = rows.select(F.lit(0).alias("none"), "text").mapInArrow(_first_parts(words), "key long, shingle long").groupBy("shingle").agg(F.min("key").alias("key"), F.max("key").alias("other"))
     alone = counted.where(F.col("key") == F.col("other")).groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
     t = F.floor((4 * F.col("n") + 4) / 5)
     early = lambda n: F.floor((n + 9) / 10)
     known = F.col("n") - t + early(F.col("n")) - F.coalesce("alone", F.lit(0))
-    left = sets.join(alone, "key", "left").where((F.col("n") > 0) & (known >= early(t))).select("key", "row")
-    return rows.join(left, "row").select("key", "text").mapInArrow(_whole, "key long, own array<long>")
+    left = sets.join(alone, "key", "left").where((F.col("n") > 0) & (known >= early(t))).select("key", "fp", *place)
+    return rows.join(left, place).select("key", "text", "fp").mapInArrow(_whole(words), "key long, own array<long>, fp long")
 
 
-def _links(sets: DataFrame) -> DataFrame:
+def rare_links(sets: DataFrame) -> DataFrame:
     """Links u, v whose components hold every pair of similar sets."""
     each = sets.select("key", F.size("own").alias("n"), F.explode("own").alias("shingle"))
     shared = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where(F.col("df") > 1)
@@ -133,24 +159,3 @@ def _links(sets: DataFrame) -> DataFrame:
     rare = own.withColumn("take", take).where(F.col("take") > 0).select("key", F.explode(F.slice("shared", 1, F.col("take"))).alias("s")).select("key", "s.shingle")
     least = F.min("key").over(Window.partitionBy("shingle"))
     return rare.select(F.col("key").alias("u"), least.alias("v")).where(F.col("u") != F.col("v")).distinct()
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, with all their columns, less the near duplicates: of each group the row with the least id stays.
-
-    Rows are linked where the sets of their five-word runs have a Jaccard
-    similarity of 0.8 or more; a group is what links reach. Null and empty texts
-    are alike. Each row is known by a stored number of its own: rows with a null
-    id are grouped like others, and go where their group has an id; different
-    texts under one id all stay.
-    """
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
-    each = stored(rows.mapInArrow(_named, "row long, key long, n long"), "shingle_sets")
-    sets = stored(_possible(rows, each.groupBy("key").agg(F.min("row").alias("row"), F.first("n").alias("n"))), "possible")
-    roots = components(_links(sets)).select(F.col("node").alias("key"), "root")
-    alike = sets.join(roots, "key").groupBy("root").applyInArrow(lambda table: _settled(table.select(["key", "own"])), "key long, least long")
-    ids = numbered.select(F.col("__row").alias("row"), F.col(id_col).alias("id"))
-    grouped = each.join(alike, "key", "left").select("row", F.coalesce("least", "key").alias("group")).join(ids, "row")
-    kept = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("k")).select(F.col("k.row").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").drop("__row")

@@ -11,6 +11,12 @@ downwards and leaves a whole subtree as soon as they exceed the limit.
 
 Links found in a group are reduced to a spanning forest there; the forests of
 all groups meet in ``components``.
+
+64 bits can't tell every pair of texts that are alike by a share of their
+shingles: two sets with a Jaccard similarity of 0.8 differ in about ten bits. So
+where such a similarity is asked for (``keep_one``), the links found here are
+candidates for an exact comparison, and ``shingles`` adds the candidates that
+fingerprints miss.
 """
 
 from __future__ import annotations
@@ -19,17 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionquill.llm import shingles
 from ionquill.llm.components import components
+from ionquill.llm.shingles import TEXTS_AT_ONCE
 from ionquill.llm.storage import stored
 
 BITS = 64
 FAN = 8
 LEVELS = 3
-TEXTS_AT_ONCE = 256
 
 
 def text_fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -37,29 +44,19 @@ def text_fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(_fingerprints([text], words, seed)[0])
 
 
-def _shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
-    # bytes.lower() and bytes.split() touch exactly A-Z and the six ASCII white-space bytes
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return []
-    digest = xxhash.xxh64_intdigest
-    if len(tokens) <= words:
-        return [digest(b" ".join(tokens), seed)]
-    runs = zip(*(tokens[i:] for i in range(words)), strict=False)
-    return [digest(run, seed) for run in map(b" ".join, runs)]
+def _majority(hashes: list[int]) -> int:
+    """Bits that more than half of the hashes have."""
+    if not hashes:
+        return 0
+    ones = np.zeros(BITS, np.int64)
+    every = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
+    for k in range(0, len(every), 65536):
+        ones += np.unpackbits(every[k : k + 65536], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def _fingerprints(texts: list[str | None], words: int, seed: int) -> np.ndarray:
-    out = np.zeros(len(texts), np.uint64)
-    for i, text in enumerate(texts):
-        hashes = _shingle_hashes(text, words, seed)
-        if hashes:
-            ones = np.zeros(BITS, np.int64)
-            every = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
-            for k in range(0, len(every), 65536):
-                ones += np.unpackbits(every[k : k + 65536], axis=1).sum(axis=0, dtype=np.int64)
-            out[i] = int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
-    return out
+    return np.array([_majority(shingles.shingle_hashes(t, words, seed)) for t in texts], np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
@@ -217,7 +214,7 @@ def block_masks(parts: int, levels: int = LEVELS) -> list[list[int]]:
 
 
 def near_links(fps: DataFrame, limit: int = 3, hot: int = 4096) -> DataFrame:
-    """Links u, v among the distinct values of ``fp`` that give the same components as all pairs within ``limit`` bits."""
+    """Links u, v that give the same components as all pairs within ``limit`` bits; ``fps`` has each value of ``fp`` once."""
     parts = limit + 1
     masks = block_masks(parts)
 
@@ -232,12 +229,14 @@ def near_links(fps: DataFrame, limit: int = 3, hot: int = 4096) -> DataFrame:
     rows, ready = dealt(fps.select("fp"), 0), []
     for level in range(LEVELS):
         where = F.lit(level << 32) + F.col("path")
-        if level == LEVELS - 1:
+        large = None
+        if level < LEVELS - 1:
+            large = stored(rows.groupBy("path", "shared").count().where(F.col("count") > hot).select("path", "shared"), "large")
+        if large is None or large.isEmpty():
             ready.append(rows.select(where.alias("path"), "shared", "fp"))
             break
-        large = rows.groupBy("path", "shared").count().where(F.col("count") > hot).select("path", "shared")
         ready.append(rows.join(large, ["path", "shared"], "left_anti").select(where.alias("path"), "shared", "fp"))
-        rows = dealt(rows.join(large, ["path", "shared"], "left_semi"), level + 1)
+        rows = dealt(stored(rows.join(large, ["path", "shared"], "left_semi"), "dealt"), level + 1)
     every = ready[0]
     for more in ready[1:]:
         every = every.unionByName(more)
@@ -256,7 +255,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``docs`` are not looked at.
     """
     each = stored(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = stored(components(near_links(distinct, limit, hot)), "roots")
     placed = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -264,15 +263,66 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return each.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, limit: int = 3) -> DataFrame:
+def _set_rows(words: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(k, TEXTS_AT_ONCE)
+                hashes = [shingles.shingle_hashes(t, words, seed) for t in part.column(2).to_pylist()]
+                sets = [shingles.as_set(h) for h in hashes]
+                fps = np.array([_majority(h) for h in hashes], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), part.column(3), pa.array(fps), pa.array([shingles.set_key(s) for s in sets], "int64"), pa.array([len(s) for s in sets], "int64")],
+                    names=["file", "at", "id", "fp", "key", "n"],
+                )
+
+    return run
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The table, and expressions for the file and the place in it that name each of its rows.
+
+    Rows that are read straight from Parquet have both; any other table is
+    written first, so that a row has one name however often the table is read.
+    """
+    file, at = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+    if "_metadata" in docs.columns:
+        raise ValueError("a column may not be named _metadata, which names the files that rows are from")
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            docs.select(file, at)
+            return docs, file, at
+        except AnalysisException:  # another format than Parquet
+            pass
+    return stored(docs, "rows"), file, at
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = shingles.WORDS, limit: int = 3, hot: int = 4096) -> DataFrame:
     """``docs``, with all their columns, less the near duplicates: of each group the row with the least id stays.
 
-    Rows that share an id are one document, of which the first by its text's hash
-    stays. A row with a null id can't be told from others and always stays.
+    Rows are linked where the sets of their runs of ``words`` words have a Jaccard
+    similarity of 0.8 or more; a group is what links reach. Candidates are the
+    texts whose fingerprints differ in ``limit`` bits or fewer, by the Gray-order
+    index, and those that share a rare enough run; all are compared exactly. Null
+    and empty texts are alike. Each row is known by its own place: rows with a
+    null id are grouped like others, and go where their group has an id; of
+    repeated rows one stays; different texts under one id all stay. Texts of any
+    length are used whole. An empty table gives no rows. Other columns, whatever
+    their names (``_metadata`` excepted, which is refused), pass through.
     """
-    groups = near_groups(docs, id_col, text_col, words, limit)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    one = known.withColumn("__nth", nth).where(F.col("__nth") == 1).drop("__nth")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    docs, file, at = _placed(docs)
+    rows = docs.select(file.alias("file"), at.alias("at"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
+    each = stored(rows.mapInArrow(_set_rows(words, 42), "file long, at long, id long, fp long, key long, n long"), "shingle_sets")
+    one = each.groupBy("key").agg(F.min(F.struct("file", "at")).alias("row"), F.first("n").alias("n"), F.min("fp").alias("fp"))
+    sets = stored(shingles.possible(rows.select("file", "at", "text"), one.select("key", "n", "fp", "row.file", "row.at"), ["file", "at"], words), "possible")
+    least = stored(sets.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    same = sets.select("key", "fp").join(least, "fp").where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v"))
+    end = lambda side: least.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_key"))
+    near = near_links(least.select("fp"), limit, hot).join(end("u"), "u").join(end("v"), "v").select(F.col("u_key").alias("u"), F.col("v_key").alias("v"))
+    roots = components(same.unionByName(near).unionByName(shingles.rare_links(sets))).select(F.col("node").alias("key"), "root")
+    alike = shingles.settled(sets, roots)
+    grouped = each.join(alike, "key", "left").select("file", "at", "id", F.coalesce("least", "key").alias("group"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "file", "at")).alias("k")
+    kept = grouped.groupBy("group").agg(first).select("k.file", "k.at")
+    own = [next(n for k in range(len(docs.columns) + 1) if (n := f"{name}_{k}") not in docs.columns) for name in ("file", "at")]
+    return docs.withColumns(dict(zip(own, (file, at), strict=True))).join(kept.toDF(*own), own, "left_semi").drop(*own)

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ionquill.llm import pseudonyms, queries_docs, registry, simhash
+from ionquill.llm import pseudonyms, queries_docs, registry
 
 WORDS = "the river walked under quiet stones and light fell on water while gulls cried over waves harbour sails".split()
 
@@ -60,21 +60,21 @@ def test_stages(spark, folder):
         kept[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
     clean = {k for k in range(160) if k % 4}
     assert {k for k in kept["quality"] if k < 160} == clean
-    # the least id of every group by plain fingerprints, of what the first stage kept
-    fps = {k: simhash.text_fingerprint(t) for k, t in kept["quality"].items()}
-    groups = {k: k for k in fps}
+    # the least id of every group of similar sets of five-word runs, of what the first stage kept
+    runs = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for k, t in kept["quality"].items()}
+    groups = {k: k for k in runs}
 
     def find(k):
         while groups[k] != k:
             k = groups[k]
         return k
 
-    for a in fps:
-        for b in fps:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 3:
+    for a in runs:
+        for b in runs:
+            if a < b and 5 * len(runs[a] & runs[b]) >= 4 * len(runs[a] | runs[b]):
                 x, y = find(a), find(b)
                 groups[max(x, y)] = min(x, y)
-    assert set(kept["near_duplicates"]) == {k for k in fps if find(k) == k}
+    assert set(kept["near_duplicates"]) == {k for k in runs if find(k) == k}
     assert {k for k in kept["near_duplicates"] if 200 <= k < 400} == {300}
     tool = pseudonyms.Pseudonyms(queries_docs.DEMO_KEY.encode())
     want = {k: t if t is None else tool.replace(t)[0] for k, t in kept["near_duplicates"].items()}

@@ -53,7 +53,7 @@ def texts(seed, n):
 def test_equals_brute_force(spark, seed):
     rows = [(k, t) for k, t in enumerate(texts(seed, 240))] + [(900, None), (901, ""), (902, " \n")]
     docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, lang string").repartition(5)
-    got = shingles.keep_one(docs)
+    got = simhash.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted((False, r["doc_id"]) for r in got.collect()) == plain_kept(rows)
 
@@ -79,5 +79,25 @@ def test_rows_compete_within_their_group_alone(spark):
     rnd = random.Random(5)
     one, two, three = (" ".join(f"z{rnd.randrange(900)}" for _ in range(40)) for _ in range(3))
     rows = [(None, one), (None, one), (7, two), (7, three), (9, two), (None, three)]
-    got = shingles.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame([(None, one), (7, two), (7, three)], "doc_id long, text string").collect())
+
+
+def test_other_columns_and_repeats(spark):
+    rnd = random.Random(6)
+    one, two = (" ".join(f"y{rnd.randrange(900)}" for _ in range(40)) for _ in range(2))
+    rows = [(1, one, 1, 2), (5, one, 3, 4), (5, two, 5, 6), (5, two, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, file_0 int, at long")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [rows[0], rows[2]]
+    assert simhash.keep_one(docs.where("false")).collect() == []
+    with pytest.raises(ValueError, match="_metadata"):
+        simhash.keep_one(docs.withColumnRenamed("at", "_metadata"))
+
+
+def test_very_long_and_read_from_files(spark, tmp_path):
+    rnd = random.Random(7)
+    long = [f"x{rnd.randrange(5000)}" for _ in range(60_000)]
+    rows = [(3, " ".join(long)), (2, " ".join([*long[:40_000], "new", *long[40_001:]])), (4, " ".join(long[30_000:])), (None, None), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    got = simhash.keep_one(spark.read.parquet(str(tmp_path / "docs")))
+    assert sorted(r["doc_id"] for r in got.collect()) == [2, 4, 8]
