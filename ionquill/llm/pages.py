@@ -1,20 +1,24 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's tags and text; block elements cut
-them into lines. Each line's ratio of text to tags is smoothed by a Gaussian
-along the page, and lines above one standard deviation form the clusters of
-content. Lines within elements that name themselves as menus, adverts, forms and
-the like have a ratio of zero and never belong to content. The element around
-the clusters (an article where the page has one) gives the region whose lines,
-short ones included, make up the text.
+them into lines. A line's ratio is its text, links left out, to its tags, times a
+weight below 1 where an element around names itself after what stands beside an
+article. Ratios are smoothed by a Gaussian along the page, within each such frame
+by itself, and lines above one standard deviation form the clusters of content.
+The element around the clusters (an article where the page has one) is the
+region. In it, lines between clusters belong to the text unless links make them
+up; frames belong to it where their own smoothed ratio is near the page's best;
+without an article, so do lines beside the clusters only where they are of the
+same kind and place, or headings.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,52 +48,92 @@ HINTS = frozenset(
     "related recommended recommendations comment comments commentlist commentform discussion replies reply respond disqus login search "
     "searchform toolbar pagination pager copyright disclaimer tracking hidden".split()
 )
+#: Words that say nothing of what an element holds; any other word beside a hint makes it a weak one.
+NEUTRAL = frozenset(
+    "box wrap wrapper container list item items area section block inner outer left right top bottom site page main global post article "
+    "entry content text bar row col column unit slot link links btn button icon icons title label body group panel module region left side rail zone new js".split()
+)
+#: Words that say nothing of what an element holds; any other word beside a hint makes it a weak one.
+NEUTRAL = frozenset(
+    "box wrap wrapper container list item items area section block inner outer left right top bottom site page main global post article "
+    "entry content text bar row col column unit slot link links btn button icon icons title label body group panel module region left side rail zone new js".split()
+)
 HEADER = frozenset(("header", "head"))
 COMMENTS = frozenset("comment comments commentlist discussion replies reply respond disqus".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: How an element bars its text: by what it is, by its name, as readers' talk, or all but headings.
-HARD, NAMED, TALK, ONLY_HEADINGS = 1, 2, 3, 4
+#: Weights of lines in elements that name themselves, surely or perhaps, after what stands beside an article.
+STRONG, WEAK = 0.02, 0.5
+#: Share of the page's best smoothed ratio that a named element's lines need.
+NEAR_BEST = 0.2
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+class _Frame(NamedTuple):
+    """What holds inside an open element: ``number`` of the element that named itself last, and its weight."""
+
+    weight: float = 1.0
+    number: int = 0
+    barred: bool = False  # text is never content
+    talk: bool = False  # readers' comments
+    headings_only: bool = False
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int
+    heading: bool
+    block: int
+    frame: _Frame
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags, characters in links, whether barred, and the open elements around."""
+    """Lines of a page, and its block elements by number: kind, parent, outermost article and main part around."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int, int]] = []  # name, number, bar, bars by name that it lifts
-        self.path: tuple[int, ...] = ()
-        self.born = 0
-        self.kind: dict[int, str] = {}
+        self.open: list[tuple[str, int, _Frame]] = []  # name, number of its block, frame
+        self.opened: Counter[str] = Counter()
+        self.kind, self.parent, self.article, self.main = [""], [0], [0], [0]
         self.buffer: list[str] = []
         self.tags = self.linked = self.links = self.headings = 0
-        self.bars = [0, 0, 0, 0, 0]  # how many open elements have each bar
-        self.lines: list[tuple[str, int, int, int, tuple[int, ...]]] = []
+        self.lines: list[Line] = []
+
+    def _top(self) -> tuple[int, _Frame]:
+        return self.open[-1][1:] if self.open else (0, _Frame())
 
     def cut(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text or self.tags:
-            barred = self.bars[HARD] or self.bars[TALK] or (self.bars[ONLY_HEADINGS] and not self.headings)
-            self.lines.append((text, self.tags, self.linked, HARD if barred else NAMED if self.bars[NAMED] else 0, self.path))
+            block, frame = self._top()
+            if frame.headings_only and not self.headings:
+                frame = frame._replace(barred=True)
+            self.lines.append(Line(text, self.tags, self.linked, self.headings > 0, block, frame))
         self.buffer.clear()
         self.tags = self.linked = 0
 
-    def _bar(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
-        if tag in BARRED:
-            return HARD
-        if tag in ("html", "body", "main"):
-            return 0
+    def _inside(self, tag: str, attrs: list[tuple[str, str | None]], around: _Frame) -> _Frame:
+        if around.barred or tag in BARRED:
+            return around._replace(barred=True)
+        if tag in ("article", "main") and not around.talk:
+            return _Frame(headings_only=around.headings_only)  # whatever it stands in is named after, this is content
+        if tag in ("html", "body"):
+            return around
         given = dict(attrs)
         if "hidden" in given or (given.get("aria-hidden") or "").lower() == "true" or (given.get("role") or "").lower() in ROLES:
-            return HARD
+            return around._replace(barred=True)
         if "display:none" in (given.get("style") or "").replace(" ", "").lower():
-            return HARD
-        words = {w.lower() for name in ("class", "id") if given.get(name) for w in _WORDS.findall(given[name])}
-        if words & COMMENTS:
-            return TALK
-        if tag == "header" or (tag != "article" and tag not in HEADINGS and words & HEADER):
-            return ONLY_HEADINGS if any(name == "article" for name, *_ in self.open) else HARD if tag == "header" else NAMED
-        return NAMED if tag != "article" and words & HINTS else 0
+            return around._replace(barred=True)
+        if tag == "header":
+            return around._replace(headings_only=True) if self.opened["article"] else around._replace(barred=True)
+        own = [{w.lower() for w in _WORDS.findall(name)} for key in ("class", "id") for name in (given.get(key) or "").split()]
+        if tag not in HEADINGS and any(words & HEADER for words in own):
+            return around._replace(headings_only=True) if self.opened["article"] else around._replace(weight=around.weight * STRONG, number=len(self.kind))
+        named = [words for words in own if words & HINTS]
+        if not named:
+            return around
+        sure = any(words <= HINTS | NEUTRAL for words in named)
+        return around._replace(weight=around.weight * (STRONG if sure else WEAK), number=len(self.kind), talk=around.talk or any(words & COMMENTS and words <= HINTS | NEUTRAL for words in named))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCK
@@ -102,18 +146,19 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        bar = self._bar(tag, attrs)
-        self.born += 1
-        # a frame may be named after what stands beside the article; its article or main part is content all the same
-        lifted = self.bars[NAMED] if tag in ("article", "main") else 0
-        self.bars[NAMED] -= lifted
-        self.open.append((tag, self.born, bar, lifted))
-        self.bars[bar] += 1
+        number, around = self._top()
+        frame = self._inside(tag, attrs, around)
+        self.opened[tag] += 1
         self.headings += tag in HEADINGS
         self.links += tag == "a"
-        if block:
-            self.kind[self.born] = tag
-            self.path = (*self.path, self.born)
+        if block or frame.number != around.number:
+            self.kind.append(tag)
+            self.parent.append(number)
+            new = len(self.kind) - 1
+            self.article.append(self.article[number] or (new if tag == "article" and not frame.talk else 0))
+            self.main.append(self.main[number] or (new if tag == "main" and not frame.talk else 0))
+            number = new
+        self.open.append((tag, number, frame))
 
     def _close_implied(self, tag: str) -> None:
         """A block ends an open paragraph; list and table items end their like."""
@@ -128,13 +173,10 @@ class _Lines(HTMLParser):
 
     def _pop_to(self, k: int) -> None:
         while len(self.open) > k:
-            name, _, bar, lifted = self.open.pop()
-            self.bars[bar] -= 1
-            self.bars[NAMED] += lifted
+            name = self.open.pop()[0]
+            self.opened[name] -= 1
             self.headings -= name in HEADINGS
             self.links -= name == "a"
-            if name in BLOCK:
-                self.path = self.path[:-1]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -143,6 +185,8 @@ class _Lines(HTMLParser):
         if tag in BLOCK:
             self.cut()
         self.tags += 1
+        if not self.opened[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self._pop_to(k)
@@ -156,59 +200,76 @@ class _Lines(HTMLParser):
             self.linked += len(data)
 
 
-def _smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
+def _plain_ratio(line: Line) -> float:
+    return max(0, len(line.text) - (0 if line.heading else line.linked)) / max(1, line.tags)
+
+
+def _smoothed(ratio: np.ndarray, frame: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian means along the page; a line hears only those of its own frame."""
     reach = max(1, round(3 * sigma))
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    return np.convolve(np.pad(ratio, reach), kernel / kernel.sum(), mode="valid")
+    total, heard = np.zeros(len(ratio)), np.zeros(len(ratio))
+    for d in range(-min(reach, len(ratio) - 1), min(reach, len(ratio) - 1) + 1):
+        near = np.exp(-0.5 * (d / sigma) ** 2)
+        here, there = slice(max(0, -d), len(ratio) - max(0, d)), slice(max(0, d), len(ratio) + min(0, d))
+        same = near * (frame[here] == frame[there])
+        total[here] += same * ratio[there]
+        heard[here] += same
+    return total / heard
 
 
-def extract(html: str | None, sigma: float = 1.0, share: float = 0.25, linked: float = 0.5) -> str:
+def extract(html: str | None, sigma: float = 1.0, share: float = 0.25, linked: float = 0.5, ratio_of: Callable[[Line], float] = _plain_ratio) -> str:
     """Main text of one page; blocks are joined by an empty line.
 
     ``sigma`` is the width of the smoothing in lines; an article of several is
-    kept where it has ``share`` of the largest one's text; outside articles,
-    lines whose text is in links by more than ``linked`` are left out.
+    kept where it has ``share`` of the largest one's text; lines whose text is in
+    links by more than ``linked`` need a ratio of their own; ``ratio_of`` gives a
+    line's ratio.
     """
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
     parser.cut()
     lines = parser.lines
-    if not any(line[0] and not line[3] for line in lines):
-        # all text is in elements whose names bar it: one of them must frame the content
-        lines = [(*line[:3], line[3] == HARD, line[4]) for line in lines]
-    if not any(line[0] and not line[3] for line in lines):
+    open_to = lambda line: line.text and not line.frame.barred and not line.frame.talk
+    if not any(open_to(line) and line.frame.weight == 1 for line in lines):
+        # all text is in elements whose names lower it: one of them must frame the content
+        lines = [line._replace(frame=line.frame._replace(weight=1.0, number=0)) for line in lines]
+    asked = [k for k, line in enumerate(lines) if open_to(line)]
+    if not asked:
         return ""
-    ratio = np.array([0.0 if barred else max(0, len(text) - links) / max(1, tags) for text, tags, links, barred, _ in lines])
-    smooth = _smoothed(ratio, sigma)
-    dense = smooth >= min(smooth.std(), smooth.max())
-    chosen = [k for k, line in enumerate(lines) if line[0] and not line[3] and dense[k]]
-    chosen = chosen or [k for k, line in enumerate(lines) if line[0] and not line[3]]
-
-    def around(path: tuple[int, ...], names: tuple[str, ...]) -> int | None:
-        return next((e for e in path if parser.kind[e] in names), None)
-
-    for names in (("article",), ("main",)):
+    weight = np.array([line.frame.weight if open_to(line) else 0.0 for line in lines])
+    ratio = weight * np.array([ratio_of(line) for line in lines])
+    frame = np.array([line.frame.number if open_to(line) else -1 for line in lines])
+    smooth = _smoothed(ratio, frame, sigma)
+    dense = np.where(weight == 1, smooth >= min(smooth.std(), smooth.max()), (weight > 0) & (smooth >= NEAR_BEST * smooth.max()))
+    chosen = [k for k in asked if dense[k]] or asked
+    kind, parent, block = parser.kind, parser.parent, [line.block for line in lines]
+    mostly_links = lambda line: not line.heading and line.linked > linked * len(line.text)
+    # lines without a name are content by their place, those with one by their ratio; so are links
+    by_place = lambda k: dense[k] or (weight[k] == 1 and not mostly_links(lines[k]))
+    for around in (parser.article, parser.main):
         size = Counter()
         for k in chosen:
-            if (e := around(lines[k][4], names)) is not None:
-                size[e] += len(lines[k][0])
+            if around[block[k]]:
+                size[around[block[k]]] += len(lines[k].text)
         if size:
             least = share * max(size.values())
             roots = {e for e, n in size.items() if n >= least}
-            return "\n\n".join(text for text, _, _, barred, path in lines if text and not barred and around(path, names) in roots)
-    total, size = sum(len(lines[k][0]) for k in chosen), Counter()
+            return "\n\n".join(lines[k].text for k in asked if around[block[k]] in roots and by_place(k))
+    total, held = sum(len(lines[k].text) for k in chosen), [0] * len(kind)
     for k in chosen:
-        for e in lines[k][4]:
-            size[e] += len(lines[k][0])
-    root = max((e for e, n in size.items() if n >= 0.8 * total and parser.kind[e] != "p"), default=None)
-    dense_lines = set(chosen)
-    kept = []
-    for k, (text, _, links, barred, path) in enumerate(lines):
-        inside = root is None or root in path
-        if text and not barred and (k in dense_lines or (inside and links <= linked * len(text))):
-            kept.append(text)
-    return "\n\n".join(kept)
+        held[block[k]] += len(lines[k].text)
+    for e in range(len(kind) - 1, 0, -1):
+        held[parent[e]] += held[e]
+    root = max((e for e in range(1, len(kind)) if held[e] >= 0.8 * total and kind[e] != "p"), default=0)
+    within = [root == 0] * len(kind)
+    for e in range(1, len(kind)):
+        within[e] = within[e] or e == root or within[parent[e]]
+    first, last = min(chosen), max(chosen)
+    alike = {(parent[block[k]], kind[block[k]]) for k in chosen}
+    place = lambda k: first <= k <= last or lines[k].heading or (parent[block[k]], kind[block[k]]) in alike
+    picked = set(chosen)
+    return "\n\n".join(lines[k].text for k in asked if k in picked or (within[block[k]] and place(k) and by_place(k)))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options: float) -> DataFrame:

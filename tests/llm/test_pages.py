@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -38,6 +39,35 @@ def test_extracts_just_the_article(seed):
     assert pages.extract(html) == want
 
 
+PARAGRAPH = "<p>" + "Slow water moved under the old bridge while gulls cried over the harbour wall. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("inside,kept", [
+    (f'<div class="related-work">{PARAGRAPH}</div>', True), ('<div class="related-work"><p>See also this.</p></div>', False),
+    ('<p id="social-policy">' + PARAGRAPH[3:], True), ('<ul><li><a href="/a">A link of some words</a><li><a href="/b">Another link of words</a></ul>', False),
+    ('<p>Short.</p>', True), (f'<section data-kind="x">{PARAGRAPH}</section>', True),
+])
+def test_ratios_decide_within_an_article(inside, kept):
+    html = f"<article><h1>Title</h1>{PARAGRAPH * 3}{inside}{PARAGRAPH}</article>"
+    got = pages.extract(html)
+    assert got.count("\n\n") == 4 + kept
+    if not kept:  # without ratios, the outcome is another
+        assert pages.extract(html, ratio_of=lambda line: 1.0) != got
+
+
+def test_pages_without_names():
+    html = f'<body><div>Home and more</div><div><h1><a href="/">A linked headline</a></h1>{PARAGRAPH * 3}<p>End.</p></div><div>Made by us in some year</div></body>'
+    got = pages.extract(html).split("\n\n")
+    assert got[0] == "A linked headline" and got[-1] == "End." and len(got) == 5
+
+
+def test_time_is_linear_in_nesting():
+    began = time.time()
+    assert pages.extract("<div>" * 20_000 + "word" + "</p>" * 20_000) == "word"
+    assert pages.extract("<div><b>" * 10_000 + "word" + "</i></div>" * 10_000) == "word"
+    assert time.time() - began < 4
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_pages_without_an_article_element(seed):
     html, want = page(random.Random(seed), article=False)
