@@ -41,3 +41,24 @@ def test_table(spark):
         assert sorted(map(tuple, got)) == sorted(plain(rows, 10, 20))
     assert bitslices.top_products(table.limit(0)).count() == 0
     assert bitslices.top_products(table.where("vec_id = 20"), every=10).count() == 0
+
+
+def test_components_of_any_finite_size(spark):
+    rows = [(0, [1e9, 1.0]), (1, [1e9, -2.0]), (2, [-1e30, 3.0]), (3, [0.3, 1e15]), (10, [1e300, 0.0]), (11, [0.26, 0.51]), (20, [1.7e308, -1.7e308])]
+    got = bitslices.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=20, block=4).collect()
+    low, high = -(1 << 63), (1 << 63) - 1
+    whole = lambda x: int(x) * 64 if abs(x) > 2.0**53 else math.floor(64 * x)
+    want = {(q, i): min(max(sum(whole(a) * whole(b) for a, b in zip(v, w)), low), high) for q, v in rows if q % 10 == 0 for i, w in rows if i != q}
+    assert {(r["query_id"], r["vec_id"]): r["score"] for r in got} == want
+
+
+def test_parts_that_cannot_win_are_passed_over(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.uniform(0.9, 1, (64, 4)), rng.uniform(0, 0.1, (192, 4))])
+    asked, top = [], bitslices.BitSlices.top
+    monkeypatch.setattr(bitslices.BitSlices, "top", lambda self, *a: asked.append(1) or top(self, *a))
+    ids = np.arange(256)
+    got = bitslices.searched(ids, x, ids[:1], x[:1], 5, 64, part=64)
+    values = np.floor(x * 64).astype(int)
+    want = sorted((-int(values[0] @ values[i]), i) for i in range(1, 256))[:5]
+    assert list(zip(got[2].tolist(), got[1].tolist())) == [(-s, i) for s, i in want] and len(asked) == 1
