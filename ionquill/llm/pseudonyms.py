@@ -9,8 +9,10 @@ values get equal pseudonyms in every document, and ``restore`` inverts it.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -21,22 +23,31 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 TEXTS_AT_ONCE = 256
-KINDS = ["secret", "email", "iban", "ip", "date", "phone", "card", "ssn"]
+KINDS = ["secret", "token", "email", "iban", "ip", "ip6", "date", "phone", "card", "ssn"]
 
 _FOUND = re.compile(
     r"""
     (?P<secret> (?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b) \s* [=:] \s* ["']? (?P<value> [A-Za-z0-9_+/.\-]{8,} ) )
+  | (?P<token> (?<![\w\-])(?: (?:AKIA|ASIA)[A-Z0-9]{16} | gh[pousr]_[A-Za-z0-9]{36,} | sk-[A-Za-z0-9_\-]{20,} | xox[abprs]-[A-Za-z0-9\-]{10,} )(?![\w\-]) )
   | (?P<email> [^\W_][\w.+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,} )
   | (?P<iban> \b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b )
   | (?P<ip> (?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\w) )
+  | (?P<ip6> (?<![\w:.])(?: (?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4} | (?=[0-9A-Fa-f:]*[0-9A-Fa-f]{2})(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})? )(?![\w:.]*[\w:]) )
   | (?P<date> (?<![\w\-/.])(?: [0-9]{4}(?P<s1>[\-/.])[0-9]{2}(?P=s1)[0-9]{2} | [0-9]{2}(?P<s2>[\-/.])[0-9]{2}(?P=s2)[0-9]{4} )(?![\-/]?\w) )
-  | (?P<phone> (?<![\w+])(?: \+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4} | \([0-9]{3}\)[ ]?[0-9]{3}[\-. ][0-9]{4} | [0-9]{3}[\-.][0-9]{3}[\-.][0-9]{4} )(?![\w\-]) )
+  | (?P<phone> (?<![\w+])(?:
+        \+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}
+      | \+(?!1[ .\-(])[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}
+      | \+[0-9]{10,15}
+      | \([0-9]{3}\)[ ]?[0-9]{3}[\-. ][0-9]{4} | [0-9]{3}[\-.][0-9]{3}[\-.][0-9]{4}
+      | 0[0-9]{2,4}[ \-][0-9]{3,4}[ \-][0-9]{3,4} | \(0[0-9]{2,4}\)[ ]?[0-9]{3,4}[ \-]?[0-9]{3,4}
+    )(?![\w\-]) )
+  | (?:(?i:\b(?:phone|mobile|tel|telephone|cell|fax|call|whatsapp)\b) [ ]? (?:(?i:number|no\.?|us|me)[ ])? (?:at[ ])? [:.]? [ ]? (?P<plain> [0-9]{10} (?![\w\-]) ) )
   | (?P<card> (?<![\w.\-])(?: [0-9]{13,19} | [0-9]{4}(?P<s3>[ \-])[0-9]{4}(?P=s3)[0-9]{4}(?P=s3)[0-9]{1,7} | [0-9]{4}(?P<s4>[ \-])[0-9]{6}(?P=s4)[0-9]{5} )(?![\w\-]) )
   | (?P<ssn> (?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-]) )
     """,
     re.VERBOSE,
 )
-_MAYBE = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
+_MAYBE = re.compile(r"[0-9@]|(?i:token|secret|passw|key)|sk-|xox")
 
 
 class Feistel:
@@ -153,10 +164,32 @@ def _ip(value: str, permute: Permute) -> str | None:
     return ".".join(reversed(out))
 
 
+def _ip6(value: str, permute: Permute) -> str | None:
+    """An address of version 6: the digits of each group are permuted, the first of a group among those that keep its length."""
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    low = value.lower()
+    sets = [None if c == ":" else HEX[1:] if c != "0" and (k == 0 or low[k - 1] == ":") else HEX if k and low[k - 1] != ":" else None for k, c in enumerate(low)]
+    new = _mixed(low, sets, permute, "ip6")
+    return new.upper() if any(c.isupper() for c in value) else new
+
+
+def _token(value: str, permute: Permute) -> str | None:
+    """A key whose beginning tells what it is; that stays."""
+    head = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-", value)[0]
+    low = value[len(head) :].lower()
+    return head + _cased(value[len(head) :], _mixed(low, [_kind_of(c) for c in low], permute, "token" + head))
+
+
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: All days, apart by whether the day of the month can be taken for a month: each kind is permuted within itself, so a layout that was clear stays clear.
+_BY_KIND_OF_DAY = [[d for d in range(FIRST_DAY, LAST_DAY + 1) if (datetime.date.fromordinal(d).day > 12) == late] for late in (False, True)]
 
 
 def _date(value: str, permute: Permute) -> str | None:
+    """A day in any layout; one day has one pseudonym, whatever the layout."""
     mark = next(c for c in value if c not in DIGITS)
     a, b, c = value.split(mark)
     if len(a) == 4:
@@ -165,33 +198,24 @@ def _date(value: str, permute: Permute) -> str | None:
         order = "mdy" if mark == "/" and int(a) <= 12 else "dmy"
     field = dict(zip(order, map(int, (a, b, c)), strict=True))
     try:
-        day = datetime.date(field["y"], field["m"], field["d"]).toordinal()
+        day = datetime.date(field["y"], field["m"], field["d"])
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
         return None
-    if order == "dmy" and mark == "/":  # stay among the days that this order alone can mean
-        return _unclear_date(field, permute)
-    new = datetime.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
+    days = _BY_KIND_OF_DAY[day.day > 12]
+    new = datetime.date.fromordinal(days[permute(bisect.bisect_left(days, day.toordinal()), len(days), f"date {day.day > 12}")])
     text = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
     return mark.join(text[k] for k in order)
 
 
-_LATE_DAYS = [d for d in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(d).day > 12]
-
-
-def _unclear_date(field: dict[str, int], permute: Permute) -> str:
-    at = _LATE_DAYS.index(datetime.date(field["y"], field["m"], field["d"]).toordinal())
-    new = datetime.date.fromordinal(_LATE_DAYS[permute(at, len(_LATE_DAYS), "late date")])
-    return f"{new.day:02d}/{new.month:02d}/{new.year:04d}"
-
-
 def _phone(value: str, permute: Permute) -> str | None:
+    """A number's country code, or the 0 that it begins with at home, stays; so do its separators."""
     digits = "".join(c for c in value if c in DIGITS)
     if not 10 <= len(digits) <= 15:
         return None
-    head = re.match(r"\+([0-9]{1,3})(?=[^0-9])", value)
-    fixed = len(head[1]) if head else 1 if value[0] == "+" else 0
+    head = re.match(r"\+(1(?=[0-9]{10}$|[^0-9])|[0-9]{1,3}(?=[^0-9]))", value)
+    fixed = len(head[1]) if head else 2 if value[0] == "+" else 1 if digits[0] == "0" else 0
     own = digits[fixed:]
     return _refilled(value, digits[:fixed] + _mixed(own, [DIGITS] * len(own), permute, "phone"))
 
@@ -217,7 +241,7 @@ def _ssn(value: str, permute: Permute) -> str | None:
     return f"{_AREAS[area]:03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-_BY_KIND = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "date": _date, "phone": _phone, "card": _card, "ssn": _ssn}
+_BY_KIND = {"secret": _secret, "token": _token, "email": _email, "iban": _iban, "ip": _ip, "ip6": _ip6, "date": _date, "phone": _phone, "card": _card, "ssn": _ssn}
 
 
 class Pseudonyms:
@@ -233,15 +257,15 @@ class Pseudonyms:
             return text, found
 
         def new(m: re.Match) -> str:
-            kind = next(k for k in KINDS if m[k] is not None)
+            kind = next((k for k in KINDS if m[k] is not None), "phone")
             if kind not in self.kinds:
                 return m[0]
-            old = m["value"] if kind == "secret" else m[0]
-            made = _BY_KIND[kind](old, permute)
+            part = "value" if kind == "secret" else "plain" if m["plain"] else 0
+            made = _BY_KIND[kind](m[part], permute)
             if made is None:
                 return m[0]
             found[kind] += 1
-            return m[0][: m.start("value") - m.start()] + made if kind == "secret" else made
+            return m[0][: m.start(part) - m.start()] + made
 
         return _FOUND.sub(new, text), found
 
@@ -262,8 +286,11 @@ def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", kinds: li
     their check (card, IBAN, address, date) are left alone, and so is every text
     without a value. Rows are taken one by one, so repeats, an empty table, nulls
     and other columns pass through unchanged; a text of any length is read whole.
+    A ``count_col`` that the table has already is refused.
     """
     names = docs.columns
+    if count_col in names:
+        raise ValueError(f"there is a column {count_col} already")
     at = names.index(text_col)
     schema = docs.schema if count_col is None else docs.select("*", F.lit(0).cast("long").alias(count_col)).schema
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import secrets
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ionquill.llm import bitslices, pages, pseudonyms, quality
 
-#: Used where the session names no key of its own in ``spark.ionquill.pseudonymKey``.
-DEMO_KEY = "demonstration key, not secret"
+KEY = "spark.ionquill.pseudonymKey"
 
 OP6_SQL = """
 WITH fine AS (
@@ -24,7 +26,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def key(spark: SparkSession) -> bytes:
-    return spark.conf.get("spark.ionquill.pseudonymKey", DEMO_KEY).encode()
+    """The pseudonyms' key that the session names; one that names none gets a random key, with a warning, for as long as it lasts."""
+    if spark.conf.get(KEY, None) is None:
+        warnings.warn(f"{KEY} is unset: pseudonyms are by a key that is lost with this session", stacklevel=2)
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY).encode()
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def test_stages(spark, folder):
                 groups[max(x, y)] = min(x, y)
     assert set(kept["near_duplicates"]) == {k for k in runs if find(k) == k}
     assert {k for k in kept["near_duplicates"] if 200 <= k < 400} == {300}
-    tool = pseudonyms.Pseudonyms(queries_docs.DEMO_KEY.encode())
+    tool = pseudonyms.Pseudonyms(queries_docs.key(spark))
     want = {k: t if t is None else tool.replace(t)[0] for k, t in kept["near_duplicates"].items()}
     assert kept["personal_data"] == want
     assert all("mail3.example.com" not in t and "4111111111111111" not in t for t in kept["personal_data"].values() if t)
