@@ -1,13 +1,17 @@
 """I-Match fingerprints over randomised lexicon subsets, in DataFrame functions alone.
 
-A term is a lower-cased run of letters and digits, known by its 64-bit hash. Its
-document frequency is that of the slot that the hash's low ``SLOT_BITS`` bits
-name, and slots whose inverse document frequency over all documents lies in the
-chosen band make the lexicon. That is a bitmap with one bit for each slot, so
-its size is fixed whatever the corpus holds. A fingerprint is a list of
-signatures, each the hash of the sorted distinct lexicon terms of the text that
-fall in one random subset of the lexicon. Subsets come in several densities, so
-that short and long texts alike have some that hold just a few of their terms.
+A term is a lower-cased run of letters and digits, known by its 64-bit hash. The
+lexicon holds the terms whose document frequency, counted for every term over
+all documents, lies in the chosen band of inverse document frequency. A
+fingerprint is a list of signatures, each the hash of the sorted distinct
+lexicon terms of the text that one randomised subset of the lexicon keeps.
+Subsets leave out random parts of different size, so that short and long texts,
+little and much edited ones, have some that hold just a few of their terms.
+
+Terms above the band are few whatever the corpus holds: documents of t distinct
+terms on average have at most t / ``most_share`` of them. They are known to
+every task, and only the other terms of a text are joined with the lexicon: none
+of these is in more than ``most_share`` of the documents, so none is a hot key.
 """
 
 from __future__ import annotations
@@ -15,11 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOT_BITS = 20
-#: (number of subsets, one term in so many falls in each, as a power of two).
-SUBSETS = ((8, 3), (16, 6), (32, 9), (32, 12))
+from ionquill.llm.storage import stored
+
+#: (number of subsets, one term in so many stays in each, as a power of two); 64 subsets in all.
+SUBSETS = ((4, 1), (4, 2), (8, 3), (16, 5), (16, 7), (16, 10))
 #: Shares of documents, and numbers of documents, that a lexicon term may be in.
 MOST_SHARE, LEAST_DOCS = 0.01, 2
+#: Ranges of ids, by quantiles, and equal parts of each, that rows are put in order in, at most.
+RANGES, PARTS, ROWS_A_RANGE = 4096, 64, 256
 
 
 def terms(text: Column) -> Column:
@@ -28,24 +35,21 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def _slot(term: Column) -> Column:
-    return term.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
+def frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``term`` and ``df``, the number of rows that hold it, of every term."""
+    return docs.select(F.explode(terms(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", most_share: float = MOST_SHARE, least_docs: int = LEAST_DOCS) -> Column:
-    """The lexicon's bitmap: a constant array of 2 ^ (``SLOT_BITS`` - 6) longs.
+class Lexicon:
+    """Terms in the band ln(1 / ``most_share``) <= idf <= ln(n / ``least_docs``), by frequencies over all of ``docs``."""
 
-    The band ln(1 / ``most_share``) <= idf <= ln(n / ``least_docs``) is taken as
-    bounds on the number of documents that hold a slot, counted over all of them.
-    """
-    total = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    own = F.array_distinct(F.transform(terms(F.col(text_col).cast("string")), _slot))
-    counted = docs.select(F.explode(own).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
-    inside = counted.where((F.col("df") >= least_docs) & (F.col("df") <= max(least_docs, int(most_share * total))))
-    words = [0] * (1 << (SLOT_BITS - 6))
-    for row in inside.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toLocalIterator():
-        words[row["word"]] = row["bits"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    def __init__(self, docs: DataFrame, text_col: str = "text", most_share: float = MOST_SHARE, least_docs: int = LEAST_DOCS):
+        self.total = docs.count()
+        self.most = max(least_docs, int(most_share * self.total))
+        counted = stored(frequencies(docs, text_col).where(F.col("df") >= least_docs), "frequencies")
+        self.inside = counted.where(F.col("df") <= self.most).select("term", membership(F.col("term")).alias("mask"))
+        # at most the mean number of a document's distinct terms over most_share
+        self.common = counted.where(F.col("df") > self.most).select("term")
 
 
 def _once(value: Column, use) -> Column:
@@ -53,27 +57,35 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def signatures(own: Column, band: Column) -> Column:
-    """A hash, or null for a subset without terms, for each subset; ``own`` are the terms of a text.
+def _bits(level: int) -> int:
+    """Bits of a term's mask that stand for the subsets of a level, as a signed number."""
+    start = sum(count for count, _ in SUBSETS[:level])
+    bits = (1 << SUBSETS[level][0]) - 1 << start
+    return bits - (1 << 64) if bits >> 63 else bits
 
-    A text without any lexicon term is known by all its terms.
-    """
 
-    def known(term: Column) -> Column:
-        slot = _slot(term)
-        return F.getbit(F.element_at(band, F.shiftright(slot, 6) + 1), slot.bitwiseAND(F.lit(63))) == 1
+def membership(term: Column) -> Column:
+    """A bit for each subset that keeps the term: of independent hashes as many agree on it as its power says."""
+    mask = F.xxhash64(term, F.lit(1).cast("long"))
+    for turn in range(2, max(power for _, power in SUBSETS) + 1):
+        done = sum(_bits(k) for k, (_, power) in enumerate(SUBSETS) if power < turn)
+        mask = mask.bitwiseAND(F.xxhash64(term, F.lit(turn).cast("long")).bitwiseOR(F.lit(done).cast("long")))
+    return mask
+
+
+def signatures(lexical: Column) -> Column:
+    """A hash, or null for a subset without terms, for each subset; ``lexical`` are a text's lexicon terms with their masks."""
+
+    def one(held: Column, place: Column) -> Column:
+        own = F.transform(F.filter(held, lambda t: F.getbit(t["mask"], place) == 1), lambda t: t["term"])
+        return _once(own, lambda part: F.when(F.size(part) > 0, F.xxhash64(part)))
 
-    def level(held: Column, count: int, power: int, shift: int) -> Column:
-        place = lambda t: F.shiftright(t, shift).bitwiseAND(F.lit((1 << power) - 1)).cast("int")
-        near = F.filter(held, lambda t: place(t) < count) if count < 1 << power else held
-        sign = lambda part: F.when(F.size(part) > 0, F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF)))
-        subset = lambda of, k: _once(F.filter(of, lambda t: place(t) == k), sign)
-        return _once(near, lambda of: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: subset(of, k)))
+    def level(held: Column, k: int) -> Column:
+        start = sum(count for count, _ in SUBSETS[:k])
+        any_of = F.filter(held, lambda t: t["mask"].bitwiseAND(F.lit(_bits(k)).cast("long")) != 0)
+        return _once(any_of, lambda of: F.transform(F.sequence(F.lit(start), F.lit(start + SUBSETS[k][0] - 1)), lambda place: one(of, place)))
 
-    lex = _once(own, lambda all_terms: _once(F.filter(all_terms, known), lambda x: F.when(F.size(x) > 0, x).otherwise(all_terms)))
-    shifts = [SLOT_BITS + sum(power for _, power in SUBSETS[:k]) for k in range(len(SUBSETS))]
-    levels = lambda held: F.concat(*[level(held, count, power, shift) for (count, power), shift in zip(SUBSETS, shifts, strict=True)])
-    return _once(F.array_sort(lex), levels)
+    return _once(F.array_sort(lexical), lambda held: F.concat(*[level(held, k) for k in range(len(SUBSETS))]))
 
 
 def written(signs: Column) -> Column:
@@ -82,29 +94,90 @@ def written(signs: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal signatures as a share of the subsets that hold terms of either text; 1 where neither text has terms."""
+    """Equal signatures as a share of the subsets that hold terms of either text; 1 where neither text has lexicon terms."""
     both = F.zip_with(a, b, lambda x, y: F.when(x == y, 1).when(x.isNotNull() | y.isNotNull(), 0))
     held = F.filter(both, lambda x: x.isNotNull())
     same = F.size(F.filter(held, lambda x: x == 1))
     return F.when(F.size(held) == 0, 1.0).otherwise(same / F.size(held))
 
 
-def _cells(docs: DataFrame, about: int, most: int) -> tuple[int, int]:
-    """Least id and width of the id ranges that rows are put in order in: about ``about`` ids each, ``most`` at most in all."""
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    if size["low"] is None:
-        return 0, 1
-    cells = min(most, max(1, size["n"] // about))
-    return size["low"], -(-(size["high"] - size["low"] + 1) // cells)
+def lexical_sets(rows: DataFrame, kinds: list[str], lexicon: Lexicon) -> DataFrame:
+    """``row`` and the lexicon terms, with masks, of its one or two ``kinds``, arrays of distinct terms; rows without any don't appear.
+
+    A row is taken apart into its terms, each marked with the kinds that hold it.
+    Common terms go where they are, the others are joined with the lexicon, and a
+    row comes together again as its own lexicon terms.
+    """
+    if len(kinds) == 2:
+        one, two = (F.col(k) for k in kinds)
+        parts = [(F.array_intersect(one, two), 3), (F.array_except(one, two), 1), (F.array_except(two, one), 2)]
+    else:
+        parts = [(F.col(kinds[0]), 1)]
+    mark = lambda m: lambda t: F.struct(t.alias("term"), F.lit(m).cast("byte").alias("in"))
+    marked = F.concat(*[F.transform(a, mark(m)) for a, m in parts])
+    each = rows.select("row", F.explode(marked).alias("t")).select("row", "t.term", "t.in").join(F.broadcast(lexicon.common), "term", "left_anti")
+    kept = each.join(lexicon.inside, "term")
+    held = lambda n: F.collect_list(F.when(F.col("in").bitwiseAND(F.lit(1 << n).cast("byte")) != 0, F.struct("term", "mask")))
+    return kept.groupBy("row").agg(*[held(n).alias(k) for n, k in enumerate(kinds)])
+
+
+def _signed(rows: DataFrame, kinds: list[str], lexicon: Lexicon) -> DataFrame:
+    """Signatures of each of ``kinds`` by ``row``; rows without any lexicon term don't appear."""
+    return lexical_sets(rows, kinds, lexicon).select("row", *[signatures(F.col(k)).alias(k) for k in kinds])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fingerprint`` of every row, by the lexicon of the whole table."""
-    band = lexicon(docs, text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), written(signatures(terms(F.col(text_col).cast("string")), band)).alias("fingerprint"))
+    """``doc_id`` and ``fingerprint`` of every row, by the lexicon of the whole table.
+
+    Null and empty texts, and texts without a lexicon term, have the fingerprint
+    of empty places. Repeated rows come back as often, null ids stay null; an
+    empty table gives no rows; other columns are not looked at.
+    """
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), terms(F.col(text_col).cast("string")).alias("own")), "terms")
+    signs = _signed(rows, ["own"], Lexicon(docs, text_col))
+    none = F.array_repeat(F.lit(None).cast("long"), sum(count for count, _ in SUBSETS))
+    return rows.select("row", "doc_id").join(signs, "row", "left").select("doc_id", written(F.coalesce("own", none)).alias("fingerprint"))
 
 
-def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", about: int = 256, most: int = 100_000) -> DataFrame:
+def _cell(ids: list[int]) -> Column:
+    """Number of the range that a row falls in, rising with (id, mark); ``ids`` are bounds, a hot id several times.
+
+    Rows of one id that fills several ranges are dealt to those by their mark;
+    other ranges are cut in ``PARTS`` of equal width. Null ids have ranges of their own, before all others.
+    """
+    bounds = F.split(F.lit(",".join(map(str, ids))), ",").cast("array<bigint>")
+    steps = max(1, len(ids).bit_length())
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+
+    def below(inclusive: bool) -> Column:
+        """How many bounds are below the id, by halving."""
+        under = lambda b: b <= F.col("doc_id") if inclusive else b < F.col("doc_id")
+        return F.aggregate(halves, F.lit(0), lambda at, s: F.when(F.coalesce(under(F.get(bounds, at + s - 1)), F.lit(False)), at + s).otherwise(at))
+
+    place = F.struct(below(False).alias("under"), below(True).alias("upto"))
+    share = (F.shiftright(F.col("mark"), 40) + (1 << 23)) / float(1 << 24)  # of the way from the least mark to the largest
+
+    def number(p: Column) -> Column:
+        many = p["upto"] - p["under"]
+        low, high = F.get(bounds, p["upto"] - 1).cast("double"), F.get(bounds, p["upto"]).cast("double")
+        within = F.coalesce(F.least(F.lit(PARTS - 1.0), F.floor((F.col("doc_id").cast("double") - low) / (high - low) * PARTS).cast("double")), F.lit(0.0))
+        # an id on several bounds fills the ranges from the first of them on
+        spread = (p["under"] + 1 + F.floor(share * (many - 1)).cast("int")) * PARTS
+        return F.when(many > 1, spread).otherwise(p["upto"] * PARTS + within.cast("int")).cast("long")
+
+    nulls = F.floor(share * RANGES).cast("long") - RANGES
+    return F.when(F.col("doc_id").isNull(), nulls).otherwise(_once(place, number))
+
+
+def _bounds(rows: DataFrame, a_range: int) -> list[int]:
+    """Quantiles of the ids, one for about ``a_range`` rows, ``RANGES`` at most."""
+    n = rows.count()
+    ranges = min(RANGES, max(1, n // a_range))
+    found = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges)).first()[0]
+    return [int(x) for x in found or [0]]
+
+
+def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_range: int = ROWS_A_RANGE) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are.
 
     The edited text ends in the start of the next document's text, in ascending
@@ -113,35 +186,48 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``edited_fingerprint``, ``near_edited``, ``near_next``.
 
     Null texts count as empty; null ids come before all others; rows that share
-    an id follow each other by their text. A single row is its own next. Texts
-    are used whole. An empty table gives no rows; other columns are not looked
-    at. Rows are put in order in ranges of ids, at most ``most`` of them, and
-    each range also gets the next range's first row.
+    an id follow each other by a hash of their text. A single row is its own
+    next. Texts are used whole; those without a lexicon term have empty
+    fingerprints. An empty table gives no rows; other columns are not looked at.
+    Rows are put in order in ranges of ids, balanced by quantiles, and each range
+    also gets the next range's first row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    band = lexicon(rows)
-    low, width = _cells(rows, about, most)
-    cell = F.floor((F.coalesce("doc_id", F.lit(low)) - F.lit(low)) / F.lit(width)).cast("long")
-    placed = rows.select("doc_id", cell.alias("cell"), "text")
-
-    # each range's first row, in order, is the guest of the range before it
-    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.xxhash64("text").alias("mark"), F.col("text"))
-    firsts = placed.groupBy("cell").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"))).alias("first"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    lexicon = Lexicon(rows)
+    placed = rows.withColumn("cell", _cell(_bounds(rows, a_range)))
+
+    # each range's first row, in order, is the guest of the range before it; there are at most (RANGES + 1) * PARTS + RANGES ranges
+    order_key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark")
+    firsts = stored(placed.groupBy("cell").agg(F.min(order_key).alias("first")), "firsts")
     order = Window.orderBy("cell")
     ranges = firsts.select("cell", "first", F.lag("cell").over(order).alias("host"), F.max("cell").over(Window.partitionBy()).alias("last"))
-    ranges = ranges.select("cell", "first", F.coalesce("host", "last").alias("host"), F.col("host").isNull().alias("wraps"))
-    starts = placed.join(F.broadcast(ranges), "cell").where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    guests = starts.groupBy("host", "wraps").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("doc_id"), F.col("host").alias("cell"), F.col("k.text").alias("text"), F.lit(True).alias("guest"), "wraps")
+    ranges = ranges.select("cell", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), F.coalesce("host", "last").alias("host"), F.col("host").isNull().alias("wraps"))
+    starts = placed.join(F.broadcast(ranges), "cell").where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark")))
+    guests = starts.groupBy("host", "wraps").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "mark", "text")).alias("k"))
+    guests = guests.select(F.col("k.doc_id").alias("doc_id"), F.col("k.text").alias("text"), F.col("k.mark").alias("mark"), F.col("host").alias("cell"), F.lit(True).alias("guest"), "wraps")
 
     both = placed.withColumns({"guest": F.lit(False), "wraps": F.lit(False)}).unionByName(guests)
-    signed = both.withColumn("signs", signatures(terms(F.col("text")), band))
-    inside = Window.partitionBy("cell").orderBy("wraps", "guest", F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
-    paired = signed.withColumn("next", F.lead(F.struct("text", "signs")).over(inside)).where(~F.col("guest"))
+    inside = Window.partitionBy("cell").orderBy("wraps", "guest", F.asc_nulls_first("doc_id"), "mark", "text")
+    # a row's number rises with its place: its range, and its place in that
+    place = F.shiftleft(F.col("cell") + RANGES, 40) + F.row_number().over(inside)
+    paired = both.withColumns({"next": F.lead("text").over(inside), "row": place}).where(~F.col("guest"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = paired.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.concat(F.left(F.col("text"), n - half), F.left(F.col("next.text"), half)).alias("edited"), "signs", F.col("next.signs").alias("next_signs")
-    ).withColumn("edited_signs", signatures(terms(F.col("edited")), band))
-    return edited.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("signs")).alias("fingerprint"), written(F.col("edited_signs")).alias("edited_fingerprint"),
-        likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
+        "cell", "row", "doc_id", n.cast("long").alias("n_chars"), terms(F.col("text")).alias("own"),
+        F.concat(F.left(F.col("text"), n - half), F.left(F.col("next"), half)).alias("edited"),
+    )
+    each = stored(edited.select("cell", "row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", terms(F.col("edited")).alias("edited")), "edits")
+
+    signs = _signed(each, ["own", "edited"], lexicon)
+    known = stored(each.select("cell", "row", "doc_id", "n_chars", "edited_sha256").join(signs, "row", "left"), "signatures")
+    # the next row's signatures: those of the next row of the range, or of the next range's first row
+    first_signs = known.where(F.col("row").bitwiseAND(F.lit((1 << 40) - 1)) == 1).select("cell", "own")
+    first_signs = first_signs.join(F.broadcast(ranges.select("cell", "host")), "cell").select(F.col("host").alias("cell"), F.col("own").alias("guest"))
+    after = Window.partitionBy("cell").orderBy("row")
+    lined = known.withColumns({"next": F.lead("own").over(after), "ends": F.lead("row").over(after).isNull()}).join(first_signs, "cell")
+    none = F.array_repeat(F.lit(None).cast("long"), sum(count for count, _ in SUBSETS))
+    own, edited_own, following = (F.coalesce(c, none) for c in (F.col("own"), F.col("edited"), F.when(F.col("ends"), F.col("guest")).otherwise(F.col("next"))))
+    return lined.select(
+        "doc_id", "n_chars", "edited_sha256", written(own).alias("fingerprint"), written(edited_own).alias("edited_fingerprint"),
+        likeness(own, edited_own).alias("near_edited"), likeness(own, following).alias("near_next"),
     )
