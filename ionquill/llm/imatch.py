@@ -1,22 +1,26 @@
 """I-Match fingerprints over randomised lexicon subsets, in DataFrame functions alone.
 
 A term is a lower-cased run of letters and digits, known by its 64-bit hash. The
-lexicon holds the terms whose document frequency, counted for every term over
-all documents, lies in the chosen band of inverse document frequency. A
-fingerprint is a list of signatures, each the hash of the sorted distinct
-lexicon terms of the text that one randomised subset of the lexicon keeps.
-Subsets leave out random parts of different size, so that short and long texts,
-little and much edited ones, have some that hold just a few of their terms.
-
-Terms above the band are few whatever the corpus holds: documents of t distinct
-terms on average have at most t / ``most_share`` of them. They are known to
-every task, and only the other terms of a text are joined with the lexicon: none
-of these is in more than ``most_share`` of the documents, so none is a hot key.
+lexicon holds the terms whose document frequency, over all documents, lies in the
+chosen band of inverse document frequency. A fingerprint is a list of signatures,
+each the hash of the sorted distinct lexicon terms of the text that one
+randomised subset of the lexicon keeps. Subsets leave out random parts of
+different size, chosen independently, so that short and long texts, little and
+much edited ones, have some that hold just a few of their terms.
+
+Frequencies are counted in one of two ways. By slots, a term's frequency is that
+of the slot of 2 ^ ``SLOT_BITS`` that its hash names: the lexicon is a bitmap of
+fixed size, and texts are looked up where they are. Exactly, every term is
+counted for itself, and texts' terms are joined with the lexicon, which moves
+each (document, term) pair twice. Terms above the band are few whatever the
+corpus holds, as documents of t distinct terms on average have at most
+t / ``most_share`` of them; so these are known to every task, and of the terms
+that are joined none is in more than ``most_share`` of the documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ionquill.llm.storage import stored
@@ -25,6 +29,8 @@ from ionquill.llm.storage import stored
 SUBSETS = ((4, 1), (4, 2), (8, 3), (16, 5), (16, 7), (16, 10))
 #: Shares of documents, and numbers of documents, that a lexicon term may be in.
 MOST_SHARE, LEAST_DOCS = 0.01, 2
+#: Bits of a term's hash that name its slot.
+SLOT_BITS = 23
 #: Ranges of ids, by quantiles, and equal parts of each, that rows are put in order in, at most.
 RANGES, PARTS, ROWS_A_RANGE = 4096, 64, 256
 
@@ -40,16 +46,43 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(terms(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-class Lexicon:
-    """Terms in the band ln(1 / ``most_share``) <= idf <= ln(n / ``least_docs``), by frequencies over all of ``docs``."""
+def _halving(n: int, fits) -> Column:
+    """How many of the places 0 to ``n`` - 1 fit, where those that do come first."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(fits(at + s - 1), F.lit(False)), at + s).otherwise(at))
+
+
+class ExactLexicon:
+    """Terms in the band ln(1 / ``most_share``) <= idf <= ln(n / ``least_docs``), by frequencies of each term over all of ``docs``."""
 
     def __init__(self, docs: DataFrame, text_col: str = "text", most_share: float = MOST_SHARE, least_docs: int = LEAST_DOCS):
-        self.total = docs.count()
-        self.most = max(least_docs, int(most_share * self.total))
+        most = max(least_docs, int(most_share * docs.count()))
         counted = stored(frequencies(docs, text_col).where(F.col("df") >= least_docs), "frequencies")
-        self.inside = counted.where(F.col("df") <= self.most).select("term", membership(F.col("term")).alias("mask"))
+        self.inside = counted.where(F.col("df") <= most).select("term", membership(F.col("term")).alias("mask"))
         # at most the mean number of a document's distinct terms over most_share
-        self.common = counted.where(F.col("df") > self.most).select("term")
+        self.common = counted.where(F.col("df") > most).select("term")
+
+
+class SlotLexicon:
+    """Terms of the slots that lie in the band, by the number of documents over all of ``docs`` that hold any term of a slot."""
+
+    def __init__(self, docs: DataFrame, text_col: str = "text", most_share: float = MOST_SHARE, least_docs: int = LEAST_DOCS):
+        most = max(least_docs, int(most_share * docs.count()))
+        own = F.array_distinct(F.transform(terms(F.col(text_col).cast("string")), self._slot))
+        counted = docs.select(F.explode(own).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(least_docs, most))
+        words = [0] * (1 << (SLOT_BITS - 6))
+        for row in counted.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toLocalIterator():
+            words[row["word"]] = row["bits"]
+        self.band = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+    @staticmethod
+    def _slot(term: Column) -> Column:
+        return term.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
+
+    def looked_up(self, own: Column) -> Column:
+        """Lexicon terms, with their masks, among a text's terms."""
+        inside = lambda t: F.getbit(F.get(self.band, F.shiftright(self._slot(t), 6)), self._slot(t).bitwiseAND(F.lit(63))) == 1
+        return F.transform(F.filter(own, inside), lambda t: F.struct(t.alias("term"), membership(t).alias("mask")))
 
 
 def _once(value: Column, use) -> Column:
@@ -85,7 +118,7 @@ def signatures(lexical: Column) -> Column:
         any_of = F.filter(held, lambda t: t["mask"].bitwiseAND(F.lit(_bits(k)).cast("long")) != 0)
         return _once(any_of, lambda of: F.transform(F.sequence(F.lit(start), F.lit(start + SUBSETS[k][0] - 1)), lambda place: one(of, place)))
 
-    return _once(F.array_sort(lexical), lambda held: F.concat(*[level(held, k) for k in range(len(SUBSETS))]))
+    return _once(F.sort_array(lexical), lambda held: F.concat(*[level(held, k) for k in range(len(SUBSETS))]))
 
 
 def written(signs: Column) -> Column:
@@ -101,7 +134,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(held) == 0, 1.0).otherwise(same / F.size(held))
 
 
-def lexical_sets(rows: DataFrame, kinds: list[str], lexicon: Lexicon) -> DataFrame:
+def lexical_sets(rows: DataFrame, kinds: list[str], lexicon: ExactLexicon) -> DataFrame:
     """``row`` and the lexicon terms, with masks, of its one or two ``kinds``, arrays of distinct terms; rows without any don't appear.
 
     A row is taken apart into its terms, each marked with the kinds that hold it.
@@ -121,22 +154,20 @@ def lexical_sets(rows: DataFrame, kinds: list[str], lexicon: Lexicon) -> DataFra
     return kept.groupBy("row").agg(*[held(n).alias(k) for n, k in enumerate(kinds)])
 
 
-def _signed(rows: DataFrame, kinds: list[str], lexicon: Lexicon) -> DataFrame:
+def _signed(rows: DataFrame, kinds: list[str], lexicon: ExactLexicon) -> DataFrame:
     """Signatures of each of ``kinds`` by ``row``; rows without any lexicon term don't appear."""
     return lexical_sets(rows, kinds, lexicon).select("row", *[signatures(F.col(k)).alias(k) for k in kinds])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fingerprint`` of every row, by the lexicon of the whole table.
+    """``doc_id`` and ``fingerprint`` of every row, by the lexicon of the whole table, by slots.
 
     Null and empty texts, and texts without a lexicon term, have the fingerprint
     of empty places. Repeated rows come back as often, null ids stay null; an
     empty table gives no rows; other columns are not looked at.
     """
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), terms(F.col(text_col).cast("string")).alias("own")), "terms")
-    signs = _signed(rows, ["own"], Lexicon(docs, text_col))
-    none = F.array_repeat(F.lit(None).cast("long"), sum(count for count, _ in SUBSETS))
-    return rows.select("row", "doc_id").join(signs, "row", "left").select("doc_id", written(F.coalesce("own", none)).alias("fingerprint"))
+    lexicon = SlotLexicon(docs, text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), written(signatures(lexicon.looked_up(terms(F.col(text_col).cast("string"))))).alias("fingerprint"))
 
 
 def _cell(ids: list[int]) -> Column:
@@ -146,14 +177,7 @@ def _cell(ids: list[int]) -> Column:
     other ranges are cut in ``PARTS`` of equal width. Null ids have ranges of their own, before all others.
     """
     bounds = F.split(F.lit(",".join(map(str, ids))), ",").cast("array<bigint>")
-    steps = max(1, len(ids).bit_length())
-    halves = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
-
-    def below(inclusive: bool) -> Column:
-        """How many bounds are below the id, by halving."""
-        under = lambda b: b <= F.col("doc_id") if inclusive else b < F.col("doc_id")
-        return F.aggregate(halves, F.lit(0), lambda at, s: F.when(F.coalesce(under(F.get(bounds, at + s - 1)), F.lit(False)), at + s).otherwise(at))
-
+    below = lambda inclusive: _halving(len(ids), lambda k: F.get(bounds, k) <= F.col("doc_id") if inclusive else F.get(bounds, k) < F.col("doc_id"))
     place = F.struct(below(False).alias("under"), below(True).alias("upto"))
     share = (F.shiftright(F.col("mark"), 40) + (1 << 23)) / float(1 << 24)  # of the way from the least mark to the largest
 
@@ -177,7 +201,7 @@ def _bounds(rows: DataFrame, a_range: int) -> list[int]:
     return [int(x) for x in found or [0]]
 
 
-def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_range: int = ROWS_A_RANGE) -> DataFrame:
+def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_range: int = ROWS_A_RANGE, exact: bool = False) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are.
 
     The edited text ends in the start of the next document's text, in ascending
@@ -190,10 +214,11 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     next. Texts are used whole; those without a lexicon term have empty
     fingerprints. An empty table gives no rows; other columns are not looked at.
     Rows are put in order in ranges of ids, balanced by quantiles, and each range
-    also gets the next range's first row.
+    also gets the next range's first row. ``exact`` counts every term for itself
+    instead of by slots.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    lexicon = Lexicon(rows)
+    lexicon = (ExactLexicon if exact else SlotLexicon)(rows)
     placed = rows.withColumn("cell", _cell(_bounds(rows, a_range)))
 
     # each range's first row, in order, is the guest of the range before it; there are at most (RANGES + 1) * PARTS + RANGES ranges
@@ -208,16 +233,30 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     both = placed.withColumns({"guest": F.lit(False), "wraps": F.lit(False)}).unionByName(guests)
     inside = Window.partitionBy("cell").orderBy("wraps", "guest", F.asc_nulls_first("doc_id"), "mark", "text")
-    # a row's number rises with its place: its range, and its place in that
-    place = F.shiftleft(F.col("cell") + RANGES, 40) + F.row_number().over(inside)
-    paired = both.withColumns({"next": F.lead("text").over(inside), "row": place}).where(~F.col("guest"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    edited = paired.select(
-        "cell", "row", "doc_id", n.cast("long").alias("n_chars"), terms(F.col("text")).alias("own"),
-        F.concat(F.left(F.col("text"), n - half), F.left(F.col("next"), half)).alias("edited"),
+    edited = F.concat(F.left(F.col("text"), n - half), F.left(F.col("next"), half)).alias("edited")
+    if not exact:
+        signs_of = lambda c: signatures(lexicon.looked_up(terms(F.col(c))))
+        ahead = both.withColumn("own", signs_of("text")).withColumn("after", F.lead(F.struct("text", "own")).over(inside)).where(~F.col("guest"))
+        lined = ahead.withColumns({"next": F.col("after.text"), "following": F.col("after.own")}).select("doc_id", n.cast("long").alias("n_chars"), "own", "following", edited)
+        lined = lined.withColumns({"edited_sha256": F.sha2("edited", 256), "edited": signs_of("edited")})
+    else:
+        lined = _lined_by_joins(both, ranges, inside, n, edited, lexicon)
+    none = F.array_repeat(F.lit(None).cast("long"), sum(count for count, _ in SUBSETS))
+    own, edited_own, following = (F.coalesce(c, none) for c in ("own", "edited", "following"))
+    return lined.select(
+        "doc_id", "n_chars", "edited_sha256", written(own).alias("fingerprint"), written(edited_own).alias("edited_fingerprint"),
+        likeness(own, edited_own).alias("near_edited"), likeness(own, following).alias("near_next"),
     )
-    each = stored(edited.select("cell", "row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", terms(F.col("edited")).alias("edited")), "edits")
 
+
+def _lined_by_joins(both: DataFrame, ranges: DataFrame, inside: WindowSpec, n: Column, edited: Column, lexicon: ExactLexicon) -> DataFrame:
+    """The signatures of every row's text, edited text and next text, by joins of their terms with a large lexicon."""
+    # a row's number rises with its place: its range, and its place in that
+    place = F.shiftleft(F.col("cell") + RANGES, 40) + F.row_number().over(inside)
+    paired = both.withColumns({"next": F.lead("text").over(inside), "row": place}).where(~F.col("guest"))
+    made = paired.select("cell", "row", "doc_id", n.cast("long").alias("n_chars"), terms(F.col("text")).alias("own"), edited)
+    each = stored(made.select("cell", "row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", terms(F.col("edited")).alias("edited")), "edits")
     signs = _signed(each, ["own", "edited"], lexicon)
     known = stored(each.select("cell", "row", "doc_id", "n_chars", "edited_sha256").join(signs, "row", "left"), "signatures")
     # the next row's signatures: those of the next row of the range, or of the next range's first row
@@ -225,9 +264,4 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first_signs = first_signs.join(F.broadcast(ranges.select("cell", "host")), "cell").select(F.col("host").alias("cell"), F.col("own").alias("guest"))
     after = Window.partitionBy("cell").orderBy("row")
     lined = known.withColumns({"next": F.lead("own").over(after), "ends": F.lead("row").over(after).isNull()}).join(first_signs, "cell")
-    none = F.array_repeat(F.lit(None).cast("long"), sum(count for count, _ in SUBSETS))
-    own, edited_own, following = (F.coalesce(c, none) for c in (F.col("own"), F.col("edited"), F.when(F.col("ends"), F.col("guest")).otherwise(F.col("next"))))
-    return lined.select(
-        "doc_id", "n_chars", "edited_sha256", written(own).alias("fingerprint"), written(edited_own).alias("edited_fingerprint"),
-        likeness(own, edited_own).alias("near_edited"), likeness(own, following).alias("near_next"),
-    )
+    return lined.withColumn("following", F.when(F.col("ends"), F.col("guest")).otherwise(F.col("next")))

@@ -40,11 +40,12 @@ def plain_likeness(a, b):
     return sum(x == y for x, y in held) / len(held) if held else 1.0
 
 
-def plain(rows):
+def plain(rows, exact=False):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h((r[1] or "").encode()), r[1] or ""))
-    df = Counter(x for _, t in rows for x in plain_terms(t))
+    slot = (lambda x: x) if exact else lambda x: x % 2**imatch.SLOT_BITS
+    df = Counter(x for _, t in rows for x in {slot(x) for x in plain_terms(t)})
     most = max(imatch.LEAST_DOCS, int(imatch.MOST_SHARE * len(rows)))
-    band = {s for s, n in df.items() if imatch.LEAST_DOCS <= n <= most}
+    band = {x for _, t in rows for x in plain_terms(t) if imatch.LEAST_DOCS <= df[slot(x)] <= most}
     write = lambda s: ".".join("" if x is None else f"{x % 2**64:x}" for x in s)
     out = []
     for k, (i, text) in enumerate(rows):
@@ -62,14 +63,14 @@ def texts(seed, n):
     return [" ".join(rnd.choice(lexicon) for _ in range(rnd.choice([1, 3, 10, 80]))) + rnd.choice(["", ".", "!\n x"]) for _ in range(n)]
 
 
-@pytest.mark.parametrize("a_range", [256, 7])
-def test_equals_brute_force(spark, a_range):
+@pytest.mark.parametrize("a_range,exact", [(256, False), (7, False), (7, True)])
+def test_equals_brute_force(spark, a_range, exact):
     rows = [(k * 3 + 5, t) for k, t in enumerate(texts(1, 60))]
     rows += [(900, None), (901, ""), (902, "🙂 A"), (902, "other words"), (903, rows[0][1]), (903, rows[0][1]), (None, "no id"), (10_000, "last é"), (2**63 - 1, "far"), (-(2**63), "first of all")]
     rows += [(77, t) for t in texts(3, 40)] + [(None, t) for t in texts(4, 9)]
     docs = spark.createDataFrame([(i, t, "x", None) for i, t in rows], "doc_id long, text string, cell string, next int").repartition(5)
-    got = sorted(map(tuple, imatch.edit_likeness(docs, a_range=a_range).collect()), key=str)
-    assert got == sorted(plain(rows), key=str)
+    got = sorted(map(tuple, imatch.edit_likeness(docs, a_range=a_range, exact=exact).collect()), key=str)
+    assert got == sorted(plain(rows, exact), key=str)
 
 
 def test_ranges_are_balanced_and_in_order(spark):
