@@ -54,14 +54,19 @@ def known_residues(sequence: Column) -> Column:
     return sequence.rlike(f"^[{''.join(RESIDUE_MASS)}]+$")
 
 
-def delta_rt(df: DataFrame, fits: DataFrame, source: str = "source") -> DataFrame:
+def delta_rt(df: DataFrame, fits: DataFrame, source: str = "source", fold: str | None = None) -> DataFrame:
     """Adds ``deltaRT``: how far the observed time is from the file's line, in units of its predictor.
 
-    ``fits`` has ``slope`` and ``intercept`` of files; others take their means, and 0 where there are none.
+    ``fits`` has ``slope`` and ``intercept`` of files, or of files and folds. A row
+    takes its own fold's line, if ``fold`` names one, else the mean of its file's;
+    rows of files without lines take the mean of all, and 0 where there are none.
     """
     mean_slope, mean_intercept = fits.agg(F.avg("slope")).scalar(), fits.agg(F.avg("intercept")).scalar()
     own = fits.groupBy(source).agg(F.avg("slope").alias("slope"), F.avg("intercept").alias("intercept"))
     joined = df.join(own, source, "left")
     slope, intercept = F.coalesce(F.col("slope"), mean_slope), F.coalesce(F.col("intercept"), mean_intercept)
+    if fold is not None:
+        joined = joined.join(fits.select(source, F.col("fold").alias(fold), F.col("slope").alias("__slope"), F.col("intercept").alias("__intercept")), [source, fold], "left")
+        slope, intercept = F.coalesce("__slope", slope), F.coalesce("__intercept", intercept)
     off = F.abs((slope * F.col("iRT") + intercept - F.col("retentionTime")) / F.nullif(slope, F.lit(0.0)))
-    return joined.withColumn("deltaRT", F.coalesce(off, F.lit(0.0))).drop("slope", "intercept")
+    return joined.withColumn("deltaRT", F.coalesce(off, F.lit(0.0))).drop("slope", "intercept", "__slope", "__intercept")

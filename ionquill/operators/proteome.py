@@ -54,8 +54,7 @@ def stratum_weighted(score: Column, stratum: Column, factor: float = 0.7) -> Col
 def mapped(peptides: DataFrame, proteins: DataFrame, peptide: str = "peptide", reverse: bool = False) -> DataFrame:
     """Every protein that holds each distinct peptide, I and L taken as one; ``peptide``, ``protein``, ``position`` from 1.
 
-    ``reverse`` looks in the reversed proteins instead. Peptides shorter than
-    five residues aren't looked up.
+    ``reverse`` looks in the reversed proteins instead.
     """
     distinct = peptides.select(F.col(peptide).alias("peptide")).where(F.col("peptide").isNotNull()).distinct().withColumn("__pep", fold_il(F.col("peptide")))
     body = F.reverse("sequence") if reverse else F.col("sequence")

@@ -60,15 +60,18 @@ def nearest_join(left: DataFrame, right: DataFrame, left_value: str, right_value
 def substring_join(needles: DataFrame, hays: DataFrame, needle: str, hay: str, k: int, needle_id: str, hay_id: str) -> DataFrame:
     """Pairs (``needle_id``, ``hay_id``, ``position`` from 1) where the needle occurs in the hay; its first place counts.
 
-    The needle's first ``k`` characters are looked up among all runs of ``k``
-    characters of the hays (an equi-join on hashes), and the few candidates are
-    compared in full. Needles shorter than ``k`` are not found.
+    The needle's first ``k`` characters, or all of a shorter one, are looked up
+    among all runs of as many characters of the hays (an equi-join on hashes), and
+    the few candidates are compared in full. Empty needles are not found.
     """
-    heads = needles.where(F.length(needle) >= k).select(F.col(needle_id), F.col(needle).alias("__needle"), F.xxhash64(F.substring(needle, 1, k)).alias("__run"))
-    # a look-ahead meets the run at every place in one pass; substring would count from the start each time
-    runs = F.array_distinct(F.transform(F.regexp_extract_all(F.col(hay), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), lambda r: F.xxhash64(r)))
-    exploded = hays.where(F.length(hay) >= k).select(F.col(hay_id), F.explode(runs).alias("__run"))
-    candidates = exploded.join(heads.select("__run", needle_id, "__needle"), "__run").select(hay_id, needle_id, "__needle")
+    size = F.least(F.length(needle), F.lit(k))
+    heads = needles.where(F.length(needle) > 0).select(F.col(needle_id), F.col(needle).alias("__needle"), size.alias("__size"), F.xxhash64(F.substring(F.col(needle), F.lit(1), size)).alias("__run"))
+    # at most k different sizes; a look-ahead meets the run at every place in one pass, substring would count from the start each time
+    sizes = sorted(r["__size"] for r in heads.select("__size").distinct().collect()) or [k]
+    hashes = lambda n: F.array_distinct(F.transform(F.regexp_extract_all(F.col(hay), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda r: F.xxhash64(r)))
+    runs = lambda n: F.transform(hashes(n), lambda r: F.struct(F.lit(n).alias("n"), r.alias("run")))
+    exploded = hays.select(F.col(hay_id), F.explode(F.concat(*map(runs, sizes))).alias("__r")).select(hay_id, F.col("__r.n").alias("__size"), F.col("__r.run").alias("__run"))
+    candidates = exploded.join(heads, ["__size", "__run"]).select(hay_id, needle_id, "__needle")
     found = candidates.join(hays.select(hay_id, F.col(hay).alias("__hay")), hay_id)
     position = F.instr(F.col("__hay"), F.col("__needle"))
     return found.select(needle_id, hay_id, position.alias("position")).where(F.col("position") > 0)
@@ -110,6 +113,12 @@ def union_aligned(first: DataFrame, *others: DataFrame) -> DataFrame:
     return out
 
 
+def split(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that meet the condition, and the others, those of which it is unknown included."""
+    sure = F.coalesce(condition, F.lit(False))
+    return df.where(sure), df.where(~sure)
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows equally often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

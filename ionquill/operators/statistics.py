@@ -269,6 +269,13 @@ def fold(*key: str, folds: int = 10) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(folds)).cast("int")
 
 
-def last_first(window_keys: list[str], value: str) -> Column:
+def largest_of(window_keys: list[str], value: str) -> Column:
     """The largest value of a key on all its rows."""
     return F.max(value).over(Window.partitionBy(*window_keys))
+
+
+def fold_lines(df: DataFrame, keys: list[str], x: str, y: str, own_fold: Column, folds: int = 10) -> DataFrame:
+    """Theil-Sen lines of each key, one for each ``fold``, learned from the points of all other folds."""
+    taught = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("__own"))
+    each = df.withColumn("__own", own_fold).select(*keys, F.explode(taught).alias("fold"), x, y)
+    return median_slopes(each, [*keys, "fold"], x, y)

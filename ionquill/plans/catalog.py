@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ionquill.plans import io_queries, relational_queries, statistics_queries, vector_queries  # noqa: F401
+from ionquill.plans import format_queries, io_queries, psm_queries, relational_queries, statistics_queries, vector_queries  # noqa: F401
 from ionquill.plans.registry import QUERIES, SQL
 
 

@@ -205,11 +205,11 @@ def q_sink_predictor_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="modified_sequence string, precursor_charge int, collision_energy int")
 
 
-@query(PEPTIDES + ", d AS (SELECT DISTINCT s AS peptide FROM p WHERE length(s) BETWEEN 5 AND 8), h AS (SELECT 'P' || p_partkey AS protein, replace(s, 'I', 'L') AS body FROM p) SELECT peptide, protein, instr(body, replace(peptide, 'I', 'L'))::INTEGER AS position FROM d JOIN h ON contains(body, replace(peptide, 'I', 'L'))")
+@query(PEPTIDES + ", d AS (SELECT DISTINCT s AS peptide FROM p WHERE length(s) > 0), h AS (SELECT 'P' || p_partkey AS protein, replace(s, 'I', 'L') AS body FROM p) SELECT peptide, protein, instr(body, replace(peptide, 'I', 'L'))::INTEGER AS position FROM d JOIN h ON contains(body, replace(peptide, 'I', 'L'))")
 def q_proteome_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = part_peptides(spark, sf_dir)
     proteins = p.select(F.concat(F.lit("P"), text(F.col("p_partkey"))).alias("name"), F.col("s").alias("sequence"))
-    return mapped(p.where(F.length("s").between(5, 8)).select(F.col("s").alias("peptide")), proteins)
+    return mapped(p.where(F.length("s") > 0).select(F.col("s").alias("peptide")), proteins)
 
 
 @query(PEPTIDES + " SELECT name, length(sequence)::INTEGER AS n, starts_with(name, 'rev_') AS decoy FROM (SELECT 'P' || p_partkey AS name, s AS sequence FROM p UNION ALL SELECT 'rev_P' || p_partkey, reverse(s) FROM p)")

@@ -11,11 +11,12 @@ from ionquill.constants import STANDARD_MODIFICATIONS
 from ionquill.functions import peptides as P
 from ionquill.operators import features as X
 from ionquill.operators import spectra
+from ionquill.operators.columns import fitted_times
 from ionquill.operators.calibration import calibrated, calibration_rows, with_settings
 from ionquill.operators.proteome import with_proteins
 from ionquill.operators.relational import top_one
 from ionquill.operators.rescoring import rescored
-from ionquill.operators.statistics import fdr_curve, median_slopes, q_values
+from ionquill.operators.statistics import fdr_curve, fold, fold_lines, q_values
 from ionquill.sources.tables import best_binding, log_affinity
 
 # Names of the features that need no spectrum.
@@ -101,11 +102,22 @@ def feature_table(psms: DataFrame, scans: DataFrame, predictions: DataFrame, opt
     return numbered, [c for c in columns if c not in options.excluded]
 
 
-def with_delta_rt(df: DataFrame, q: float = 0.9) -> DataFrame:
-    """Adds ``deltaRT`` from each file's median-of-slopes line through its best targets."""
-    cut = df.where(F.col("Label") == 1).groupBy("source").agg(F.percentile_approx("spectralAngle", q, 10_000).alias("__cut"))
-    best = df.where((F.col("Label") == 1) & F.col("iRT").isNotNull() & F.col("retentionTime").isNotNull()).join(cut, "source").where(F.col("spectralAngle") >= F.col("__cut"))
-    return X.delta_rt(df, median_slopes(best, ["source"], "iRT", "retentionTime"))
+def with_delta_rt(df: DataFrame, q: float = 0.9, folds: int = 10) -> DataFrame:
+    """Adds ``deltaRT`` from median-of-slopes lines through each file's best targets.
+
+    The best are the targets at or above the exact quantile ``q`` of their file's
+    angles. They are dealt to ``folds``, and each is held against the line of the
+    other folds; all other rows against the mean of their file's lines. Where no
+    row has a predicted time, one is made from residue counts.
+    """
+    if df.agg(F.count("iRT").alias("n")).first()["n"] == 0:
+        df = fitted_times(df.drop("iRT"), train=F.col("Label") == 1, name="iRT")
+    target = F.col("Label") == 1
+    cut = df.where(target).groupBy("source").agg(F.percentile("spectralAngle", q).alias("__cut"))
+    best = target & F.col("iRT").isNotNull() & F.col("retentionTime").isNotNull() & (F.col("spectralAngle") >= F.col("__cut"))
+    marked = df.join(cut, "source", "left").withColumn("__fold", F.when(best, fold("source", "scan", "peptide", folds=folds))).drop("__cut")
+    lines = fold_lines(marked.where(F.col("__fold").isNotNull()), ["source"], "iRT", "retentionTime", F.col("__fold"), folds)
+    return X.delta_rt(marked, lines, fold="__fold").drop("__fold")
 
 
 def assignments(features: DataFrame, columns: list[str], options: Options, proteins: DataFrame | None = None) -> DataFrame:

@@ -94,31 +94,40 @@ def q_theilsen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH c AS (SELECT l_shipmode_pos AS position, symbol, count(*) FILTER (f) AS a, count(*) FILTER (NOT f) AS b FROM (SELECT i - 1 AS l_shipmode_pos, substring(p_name, i, 1) AS symbol, p_size > 25 AS f FROM part, range(1, 9) t(i) WHERE i <= length(p_name)) GROUP BY 1, 2),"
+    "WITH c AS (SELECT l_shipmode_pos AS position, symbol, count(*) FILTER (f) AS a, count(*) FILTER (NOT f) AS b FROM (SELECT i - 1 AS l_shipmode_pos, substring(p_name, i, 1) AS symbol, p_size > 25 AS f FROM part, range(1, (SELECT max(length(p_name)) + 1 FROM part)) t(i) WHERE i <= length(p_name)) GROUP BY 1, 2),"
     " s AS (SELECT position, symbol, a / sum(a) OVER (PARTITION BY position) AS p, b / sum(b) OVER (PARTITION BY position) AS q FROM c),"
     " e AS (SELECT position, (CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2 AS x FROM s)"
     " SELECT position::INTEGER AS position, round(sum(x), 6) AS divergence FROM e GROUP BY 1"
 )
 def q_js_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of the letters at each place between two kinds of parts, as a logo compares peptides."""
-    p = table(spark, sf_dir, "part").select((F.col("p_size") > 25).alias("f"), F.posexplode(F.slice(F.filter(F.split("p_name", ""), lambda x: x != ""), 1, 8)).alias("position", "symbol"))
+    p = table(spark, sf_dir, "part").select((F.col("p_size") > 25).alias("f"), F.posexplode(F.filter(F.split("p_name", ""), lambda x: x != "")).alias("position", "symbol"))
     out = S.divergence(p, ["position"], "symbol", F.col("f"))
     return out.select("position", F.round("divergence", 6).alias("divergence")).distinct()
 
 
-@query("SELECT (i - 1)::INTEGER AS position, substring(p_name, i, 1) AS symbol, count(*) AS n FROM part, range(1, 40) t(i) WHERE i <= length(p_name) GROUP BY 1, 2")
+@query("SELECT (i - 1)::INTEGER AS position, substring(p_name, i, 1) AS symbol, count(*) AS n FROM part, range(1, (SELECT max(length(p_name)) + 1 FROM part)) t(i) WHERE i <= length(p_name) GROUP BY 1, 2")
 def q_symbol_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.symbol_counts(table(spark, sf_dir, "part").select("p_name"), "p_name")
 
 
-@query()
+@query(
+    "WITH l AS (SELECT (i - 1)::INTEGER AS position, substring(p_name, i, 1) AS symbol, p_size > 25 AS f FROM part, range(1, (SELECT max(length(p_name)) + 1 FROM part)) t(i) WHERE i <= length(p_name)),"
+    " n AS (SELECT position, symbol, count(*) FILTER (f) AS a, count(*) FILTER (NOT f) AS c FROM l GROUP BY 1, 2),"
+    " w AS (SELECT position, symbol, a, sum(a) OVER p AS na, a + c AS col, sum(a) OVER p + sum(c) OVER p AS n FROM n WINDOW p AS (PARTITION BY position)),"
+    " k AS (SELECT position, symbol, a, k, lgamma(na + 1) - lgamma(k + 1) - lgamma(na - k + 1) + lgamma(n - na + 1) - lgamma(col - k + 1) - lgamma(n - na - col + k + 1) AS x, lgamma(n + 1) - lgamma(col + 1) - lgamma(n - col + 1) AS whole"
+    " FROM (SELECT *, unnest(range(greatest(0, na + col - n)::BIGINT, least(na, col)::BIGINT + 1)) AS k FROM (SELECT position, symbol, a, na::DOUBLE AS na, col::DOUBLE AS col, n::DOUBLE AS n FROM w))),"
+    " o AS (SELECT position, symbol, x - whole AS own FROM k WHERE k = a), f AS (SELECT position, symbol, least(1.0, sum(exp(x - whole)) FILTER (x - whole <= own + 1e-7)) AS p FROM k JOIN o USING (position, symbol) GROUP BY 1, 2),"
+    " r AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) AS rk, count(*) OVER () AS m FROM f)"
+    " SELECT position, symbol, round(p, 6) AS p, round(least(1.0, min(p * m / rk) OVER (ORDER BY p DESC)), 6) AS adjusted FROM r"
+)
 def q_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fisher's exact test of each letter at each place, adjusted; SQL lacks the log gamma sums."""
-    p = table(spark, sf_dir, "part").select((F.col("p_size") > 25).alias("f"), F.posexplode(F.slice(F.filter(F.split("p_name", ""), lambda x: x != ""), 1, 8)).alias("position", "symbol"))
+    """Fisher's exact test of each letter at each place, adjusted."""
+    p = table(spark, sf_dir, "part").select((F.col("p_size") > 25).alias("f"), F.posexplode(F.filter(F.split("p_name", ""), lambda x: x != "")).alias("position", "symbol"))
     c = p.groupBy("position", "symbol").agg(F.count_if("f").alias("a"), F.count_if(~F.col("f")).alias("c"))
     sums = c.groupBy("position").agg(F.sum("a").alias("na"), F.sum("c").alias("nc"))
     tested = c.join(sums, "position").select("position", "symbol", S.fisher_exact("a", F.col("na") - F.col("a"), "c", F.col("nc") - F.col("c")).alias("p"))
-    return S.bh_adjusted(tested, "p", "adjusted").select("position", "symbol", F.round("p", 8).alias("p"), F.round("adjusted", 8).alias("adjusted"))
+    return S.bh_adjusted(tested, "p", "adjusted").select("position", "symbol", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
 
 
 @query(
@@ -173,5 +182,6 @@ def q_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semi-supervised target-decoy rescoring: one label's vectors as targets."""
     from ionquill.operators.rescoring import rescored
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("Label"), *[F.get("embedding", k).cast("double").alias(f"f{k}") for k in range(8)])
-    return rescored(e, [f"f{k}" for k in range(8)], ["vec_id"], rounds=2, fdr=0.3).select("vec_id", "Label", "score", "qValue", "postErrProb")
+    names = [f"f{k}" for k in range(64)]
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("Label"), *[F.get("embedding", k).cast("double").alias(f) for k, f in enumerate(names)])
+    return rescored(e, names, ["vec_id"]).select("vec_id", "Label", "score", "qValue", "postErrProb")

@@ -229,7 +229,9 @@ def read_mascot(spark: SparkSession, path: str | list[str], style: str | None =
     files = spark.read.text(path, wholetext=True).select("value")
     section = F.regexp_extract("value", r"(?s)(prot_hit_num.*?)(?:\r?\n\"?Queries|\z)", 1)
     lines = files.select(F.split(section, r"\r?\n").alias("l"))
-    rows = lines.select(F.get("l", F.lit(0)).alias("head"), F.explode(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0)))).alias("line")).where(F.col("line") != "")
+    # the header goes into each line's struct, so that no row carries the whole file along
+    each = F.transform(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0))), lambda x: F.struct(F.get("l", F.lit(0)).alias("head"), x.alias("line")))
+    rows = lines.select(F.explode(each).alias("r")).select("r.head", "r.line").where(F.col("line") != "")
     cell = r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'
     cells = lambda c: F.transform(F.regexp_extract_all(c, F.lit(cell), F.lit(1)), lambda x: F.replace(F.regexp_replace(x, r'^"|"$', ""), F.lit('""'), F.lit('"')))
     n = F.least(F.size(cells(F.col("head"))), F.size(cells(F.col("line"))))

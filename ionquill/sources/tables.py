@@ -90,3 +90,10 @@ def read_weights(spark: SparkSession, path: str, folds: int = 3) -> DataFrame:
     rows = text.select(F.posexplode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold", "k"), "l")
     named = rows.select("fold", F.split(F.regexp_replace(F.get("l", F.col("k") * 3), "^#", ""), "\t").alias("n"), F.split(F.get("l", F.col("k") * 3 + 1), "\t").alias("w")).where(F.col("n").isNotNull() & F.col("w").isNotNull())
     return named.select("fold", F.explode(F.arrays_zip("n", "w")).alias("x")).select("fold", F.col("x.n").alias("feature"), F.col("x.w").try_cast("double").alias("weight"))
+
+
+def extreme_weights(weights: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` features of largest and of least mean weight; ``feature``, ``weight``, ``side``."""
+    means = weights.groupBy("feature").agg(F.avg("weight").alias("weight"))
+    side = lambda order, name: means.orderBy(order, "feature").limit(n).withColumn("side", F.lit(name))
+    return side(F.desc("weight"), "top").unionByName(side(F.asc("weight"), "bottom"))
