@@ -1,25 +1,30 @@
 """I-Match fingerprints over randomised lexicon subsets, in DataFrame functions alone.
 
-A term is a lower-cased run of letters and digits, known by its 64-bit hash. Its
-document frequency is that of the slot that the hash's low ``SLOT_BITS`` bits
-name, and slots whose inverse document frequency over all documents lies in the
-chosen band make the lexicon. That is a bitmap with one bit for each slot, so
-its size is fixed whatever the corpus holds. A fingerprint is a list of
-signatures, each the hash of the sorted distinct lexicon terms of the text that
-fall in one random subset of the lexicon. Subsets come in several densities, so
-that short and long texts alike have some that hold just a few of their terms.
+A term is a lower-cased run of letters and digits, known by its 64-bit hash.
+The terms whose inverse document frequency over all documents lies in a band,
+ln(1 / ``MOST_SHARE``) <= idf <= ln(1 / ``LEAST_SHARE``), make the lexicon. The
+band is the same at every size, and a document of d distinct terms can bring at
+most d / ``LEAST_SHARE`` / (number of documents) of them in: so the lexicon holds
+at most (mean distinct terms of a document) / ``LEAST_SHARE`` terms, however many
+documents there are. A fingerprint is a list of signatures, each the hash of the
+sorted distinct lexicon terms of the text that fall in one random subset of the
+lexicon. Subsets come in several densities, so that short and long texts alike
+have some that hold just a few of their terms.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOT_BITS = 20
 #: (number of subsets, one term in so many falls in each, as a power of two).
 SUBSETS = ((8, 3), (16, 6), (32, 9), (32, 12))
-#: Shares of documents, and numbers of documents, that a lexicon term may be in.
-MOST_SHARE, LEAST_DOCS = 0.01, 2
+#: Shares of documents that a lexicon term is in, and the fewest documents: a term of one alone links none.
+LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 0.0005, 0.01, 2
+#: Ranges of ids between quantiles, each cut further into cells of equal width.
+RANGES = 256
 
 
 def terms(text: Column) -> Column:
@@ -28,24 +33,42 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def _slot(term: Column) -> Column:
-    return term.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
-
+def _constant(values: list[int], kind: str) -> Column:
+    """A constant array, which goes to the plan as one string and is read there once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-def lexicon(docs: DataFrame, text_col: str = "text", most_share: float = MOST_SHARE, least_docs: int = LEAST_DOCS) -> Column:
-    """The lexicon's bitmap: a constant array of 2 ^ (``SLOT_BITS`` - 6) longs.
 
-    The band ln(1 / ``most_share``) <= idf <= ln(n / ``least_docs``) is taken as
-    bounds on the number of documents that hold a slot, counted over all of them.
-    """
+def _lexicon(docs: DataFrame, text_col: str, least_share: float, most_share: float, least_docs: int) -> list[int]:
+    """The lexicon's terms, by document frequencies over all rows of ``docs``."""
     total = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    own = F.array_distinct(F.transform(terms(F.col(text_col).cast("string")), _slot))
-    counted = docs.select(F.explode(own).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
-    inside = counted.where((F.col("df") >= least_docs) & (F.col("df") <= max(least_docs, int(most_share * total))))
-    words = [0] * (1 << (SLOT_BITS - 6))
-    for row in inside.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).toLocalIterator():
-        words[row["word"]] = row["bits"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    least = max(least_docs, math.ceil(least_share * total))
+    most = max(least, int(most_share * total))
+    counted = docs.select(F.explode(terms(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return [row["term"] for row in counted.where((F.col("df") >= least) & (F.col("df") <= most)).select("term").toLocalIterator()]
+
+
+class Lexicon:
+    """A set of terms as an expression: buckets by the low bits of a term, two or more to a term."""
+
+    def __init__(self, held: list[int]):
+        self.mask = (1 << max(6, (2 * len(held)).bit_length())) - 1
+        starts = [0] * (self.mask + 2)
+        for term in held:
+            starts[(term & self.mask) + 1] += 1
+        for bucket in range(self.mask + 1):
+            starts[bucket + 1] += starts[bucket]
+        self.starts = _constant(starts, "int")
+        self.held = _constant(sorted(held, key=lambda term: (term & self.mask, term)) or [0], "bigint")
+
+    def holds(self, term: Column) -> Column:
+        bucket = term.bitwiseAND(F.lit(self.mask)).cast("int")
+        start, end = F.element_at(self.starts, bucket + 1), F.element_at(self.starts, bucket + 2)
+        return (end > start) & F.array_contains(F.slice(self.held, start + 1, end - start), term)
+
+
+def lexicon(docs: DataFrame, text_col: str = "text", least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE, least_docs: int = LEAST_DOCS) -> Lexicon:
+    """The terms in at least ``least_share`` of all documents (and in ``least_docs``), and in at most ``most_share``."""
+    return Lexicon(_lexicon(docs, text_col, least_share, most_share, least_docs))
 
 
 def _once(value: Column, use) -> Column:
@@ -53,13 +76,9 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def signatures(own: Column, band: Column) -> Column:
+def signatures(own: Column, band: Lexicon) -> Column:
     """A hash, or null for a subset without terms, for each subset; ``own`` are the terms of a text."""
 
-    def known(term: Column) -> Column:
-        slot = _slot(term)
-        return F.getbit(F.element_at(band, F.shiftright(slot, 6) + 1), slot.bitwiseAND(F.lit(63))) == 1
-
     def level(held: Column, count: int, power: int, shift: int) -> Column:
         place = lambda t: F.shiftright(t, shift).bitwiseAND(F.lit((1 << power) - 1)).cast("int")
         near = F.filter(held, lambda t: place(t) < count) if count < 1 << power else held
@@ -67,8 +86,8 @@ def signatures(own: Column, band: Column) -> Column:
         subset = lambda of, k: _once(F.filter(of, lambda t: place(t) == k), sign)
         return _once(near, lambda of: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: subset(of, k)))
 
-    lex = F.filter(own, known)
-    shifts = [SLOT_BITS + sum(power for _, power in SUBSETS[:k]) for k in range(len(SUBSETS))]
+    lex = F.filter(own, band.holds)
+    shifts = [sum(power for _, power in SUBSETS[:k]) for k in range(len(SUBSETS))]
     levels = lambda held: F.concat(*[level(held, count, power, shift) for (count, power), shift in zip(SUBSETS, shifts, strict=True)])
     return _once(F.array_sort(lex), levels)
 
@@ -86,13 +105,29 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(held) == 0, 1.0).otherwise(same / F.size(held))
 
 
-def _cells(docs: DataFrame, about: int, most: int) -> tuple[int, int]:
-    """Least id and width of the id ranges that rows are put in order in: about ``about`` ids each, ``most`` at most in all."""
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+def _cell(docs: DataFrame, about: int, most: int) -> Column:
+    """The cell of a row, rising with its id; null ids share the least id's.
+
+    Quantiles of the ids bound ``RANGES`` ranges, so that none holds much more than
+    its share wherever ids lie; a range has cells of equal width, of ``about`` ids
+    each where they lie evenly, and at most ``most`` in all.
+    """
+    shares = [k / RANGES for k in range(1, RANGES)]
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", shares, 10 * RANGES).alias("cuts")).first()
     if size["low"] is None:
-        return 0, 1
-    cells = min(most, max(1, size["n"] // about))
-    return size["low"], -(-(size["high"] - size["low"] + 1) // cells)
+        return F.lit(0).cast("long")
+    lows = sorted({size["low"], *size["cuts"]})
+    ends = [*lows[1:], size["high"] + 1]
+    each = max(1, min(most, size["n"] // about) // len(lows))
+    widths = [-(-(end - low) // each) for low, end in zip(lows, ends, strict=True)]
+    starts, steps, some_id = _constant(lows, "bigint"), _constant(widths, "double"), F.coalesce("doc_id", F.lit(size["low"]))
+
+    # in doubles, as ids may lie further apart than a long reaches; equal ids fall in one cell, and cells rise with ids
+    def within(r: Column) -> Column:
+        place = F.floor((some_id.cast("double") - F.element_at(starts, r).cast("double")) / F.element_at(steps, r)).cast("long")
+        return r.cast("long") * each + F.least(place, F.lit(each - 1).cast("long"))
+
+    return _once(F.size(F.filter(starts, lambda low: low <= some_id)), within)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,17 +147,14 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null texts count as empty; null ids come before all others; rows that share
     an id follow each other by their text. A single row is its own next. Texts
     are used whole. An empty table gives no rows; other columns are not looked
-    at. Rows are put in order in ranges of ids, at most ``most`` of them, and
-    each range also gets the next range's first row.
+    at. Rows are put in order in cells of ids, at most ``most`` of them (or
+    ``RANGES``), and each cell also gets the next cell's first row.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     band = lexicon(rows)
-    low, width = _cells(rows, about, most)
-    # in doubles, as ids may lie further apart than a long reaches; equal ids fall in one range, and ranges rise with ids
-    cell = F.floor((F.coalesce("doc_id", F.lit(low)).cast("double") - F.lit(float(low))) / F.lit(float(width))).cast("long")
-    placed = rows.select("doc_id", cell.alias("cell"), "text")
+    placed = rows.select("doc_id", _cell(rows, about, most).alias("cell"), "text")
 
-    # each range's first row, in order, is the guest of the range before it
+    # each cell's first row, in order, is the guest of the cell before it
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.xxhash64("text").alias("mark"), F.col("text"))
     firsts = placed.groupBy("cell").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"))).alias("first"))
     order = Window.orderBy("cell")

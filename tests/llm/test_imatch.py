@@ -1,10 +1,12 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ionquill.llm import imatch
 
@@ -22,8 +24,8 @@ def plain_terms(text):
 
 
 def plain_signs(terms, band):
-    held = {t for t in terms if t & ((1 << imatch.SLOT_BITS) - 1) in band}
-    out, shift = [], imatch.SLOT_BITS
+    held = terms & band
+    out, shift = [], 0
     for count, power in imatch.SUBSETS:
         for k in range(count):
             own = sorted(t for t in held if t >> shift & ((1 << power) - 1) == k)
@@ -42,9 +44,10 @@ def plain_likeness(a, b):
 
 def plain(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h((r[1] or "").encode()), r[1] or ""))
-    df = Counter(s for _, t in rows for s in {x & ((1 << imatch.SLOT_BITS) - 1) for x in plain_terms(t)})
-    most = max(imatch.LEAST_DOCS, int(imatch.MOST_SHARE * len(rows)))
-    band = {s for s, n in df.items() if imatch.LEAST_DOCS <= n <= most}
+    df = Counter(x for _, t in rows for x in plain_terms(t))
+    least = max(imatch.LEAST_DOCS, math.ceil(imatch.LEAST_SHARE * len(rows)))
+    most = max(least, int(imatch.MOST_SHARE * len(rows)))
+    band = {x for x, n in df.items() if least <= n <= most}
     write = lambda s: ".".join("" if x is None else f"{x % 2**64:x}" for x in s)
     out = []
     for k, (i, text) in enumerate(rows):
@@ -87,3 +90,27 @@ def test_equal_texts_have_equal_fingerprints(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts(2, 30) * 2)], "doc_id long, text string")
     got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(docs).collect()}
     assert all(got[k] == got[k + 30] for k in range(30))
+
+
+def test_lexicon_by_exact_frequencies(spark):
+    # 1000 documents: a word in every one, words in 10, in 5, in 2 and in 1 of them
+    rows = [(k, f"all ten{k // 10} five{k // 5} two{k // 2} one{k}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(imatch._lexicon(docs, "text", 0.003, 0.01, 2)) == {h(f"{w}{k}".encode()) for w, n in (("ten", 100), ("five", 200)) for k in range(n)}
+    assert set(imatch._lexicon(docs, "text", 0.0, 0.004, 2)) == {h(f"two{k}".encode()) for k in range(500)}
+
+
+def test_lexicon_holds_its_terms_alone(spark):
+    held = [h(str(k).encode()) for k in range(3000)] + [0, -1, 2**63 - 1, -(2**63)]
+    asked = spark.createDataFrame([(t,) for t in held] + [(h(b"x%d" % k),) for k in range(3000)], "t long")
+    got = {r["t"] for r in asked.where(imatch.Lexicon(held).holds(F.col("t"))).collect()}
+    assert got == set(held)
+    assert asked.where(imatch.Lexicon([]).holds(F.col("t"))).count() == 0
+
+
+def test_an_outlying_id_does_not_crowd_the_rest(spark):
+    ids = [*range(3000), 10**15, -(10**17)]
+    docs = spark.createDataFrame([(k,) for k in ids], "doc_id long")
+    cells = docs.select("doc_id", imatch._cell(docs, 10, 1000).alias("cell")).orderBy("doc_id").collect()
+    assert [r["cell"] for r in cells] == sorted(r["cell"] for r in cells)
+    assert max(Counter(r["cell"] for r in cells).values()) <= 30
