@@ -15,8 +15,9 @@ have some that hold just a few of their terms.
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: (number of subsets, one term in so many falls in each, as a power of two).
@@ -38,32 +39,41 @@ def _constant(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def _lexicon(docs: DataFrame, text_col: str, least_share: float, most_share: float, least_docs: int) -> list[int]:
-    """The lexicon's terms, by document frequencies over all rows of ``docs``."""
+def _lexicon(docs: DataFrame, text_col: str, least_share: float, most_share: float, least_docs: int) -> DataFrame:
+    """The lexicon's terms, column ``term``, by document frequencies over all rows of ``docs``."""
     total = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     least = max(least_docs, math.ceil(least_share * total))
     most = max(least, int(most_share * total))
     counted = docs.select(F.explode(terms(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return [row["term"] for row in counted.where((F.col("df") >= least) & (F.col("df") <= most)).select("term").toLocalIterator()]
+    return counted.where((F.col("df") >= least) & (F.col("df") <= most)).select("term")
 
 
 class Lexicon:
-    """A set of terms as an expression: buckets by the low bits of a term, two or more to a term."""
-
-    def __init__(self, held: list[int]):
-        self.mask = (1 << max(6, (2 * len(held)).bit_length())) - 1
-        starts = [0] * (self.mask + 2)
-        for term in held:
-            starts[(term & self.mask) + 1] += 1
-        for bucket in range(self.mask + 1):
-            starts[bucket + 1] += starts[bucket]
-        self.starts = _constant(starts, "int")
-        self.held = _constant(sorted(held, key=lambda term: (term & self.mask, term)) or [0], "bigint")
+    """A set of terms as an expression: arrays of terms in buckets by the low bits of a term, two or more to a term.
+
+    The buckets are the value of a session variable. So they stay in the JVM, go
+    to tasks as one flat array and don't fill the plan's text, as constants would.
+    """
+
+    def __init__(self, held: DataFrame):
+        spark = held.sparkSession
+        flat, name = self._variable(spark, "array<bigint>", held.agg(F.collect_list("term")))
+        self.mask = (1 << max(6, (2 * spark.range(1).select(F.size(flat)).first()[0]).bit_length())) - 1
+        filled = spark.range(1).select(F.explode(flat).alias("term")).groupBy(F.col("term").bitwiseAND(F.lit(self.mask)).alias("id")).agg(F.collect_list("term").alias("held"))
+        every = spark.range(self.mask + 1).join(filled, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", "held"))).alias("all"))
+        self.buckets, _ = self._variable(spark, "array<array<bigint>>", every.select(F.col("all.held")))
+        spark.sql(f"DROP TEMPORARY VARIABLE {name}")
+
+    @staticmethod
+    def _variable(spark: SparkSession, kind: str, value: DataFrame) -> tuple[Column, str]:
+        """A session variable of a new name, and the name, with the value of a one-row table."""
+        name = f"lexicon_{uuid.uuid4().hex}"
+        spark.sql(f"DECLARE VARIABLE {name} {kind}")
+        spark.sql(f"SET VAR {name} = (SELECT * FROM {{value}})", value=value)
+        return F.expr(f"system.session.{name}"), name
 
     def holds(self, term: Column) -> Column:
-        bucket = term.bitwiseAND(F.lit(self.mask)).cast("int")
-        start, end = F.element_at(self.starts, bucket + 1), F.element_at(self.starts, bucket + 2)
-        return (end > start) & F.array_contains(F.slice(self.held, start + 1, end - start), term)
+        return F.coalesce(F.array_contains(F.element_at(self.buckets, term.bitwiseAND(F.lit(self.mask)).cast("int") + 1), term), F.lit(False))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE, least_docs: int = LEAST_DOCS) -> Lexicon:

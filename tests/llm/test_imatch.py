@@ -96,16 +96,16 @@ def test_lexicon_by_exact_frequencies(spark):
     # 1000 documents: a word in every one, words in 10, in 5, in 2 and in 1 of them
     rows = [(k, f"all ten{k // 10} five{k // 5} two{k // 2} one{k}") for k in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert set(imatch._lexicon(docs, "text", 0.003, 0.01, 2)) == {h(f"{w}{k}".encode()) for w, n in (("ten", 100), ("five", 200)) for k in range(n)}
-    assert set(imatch._lexicon(docs, "text", 0.0, 0.004, 2)) == {h(f"two{k}".encode()) for k in range(500)}
+    assert {r["term"] for r in imatch._lexicon(docs, "text", 0.003, 0.01, 2).collect()} == {h(f"{w}{k}".encode()) for w, n in (("ten", 100), ("five", 200)) for k in range(n)}
+    assert {r["term"] for r in imatch._lexicon(docs, "text", 0.0, 0.004, 2).collect()} == {h(f"two{k}".encode()) for k in range(500)}
 
 
 def test_lexicon_holds_its_terms_alone(spark):
     held = [h(str(k).encode()) for k in range(3000)] + [0, -1, 2**63 - 1, -(2**63)]
     asked = spark.createDataFrame([(t,) for t in held] + [(h(b"x%d" % k),) for k in range(3000)], "t long")
-    got = {r["t"] for r in asked.where(imatch.Lexicon(held).holds(F.col("t"))).collect()}
+    got = {r["t"] for r in asked.where(imatch.Lexicon(spark.createDataFrame([(t,) for t in held], "term long")).holds(F.col("t"))).collect()}
     assert got == set(held)
-    assert asked.where(imatch.Lexicon([]).holds(F.col("t"))).count() == 0
+    assert asked.where(imatch.Lexicon(spark.createDataFrame([], "term long")).holds(F.col("t"))).count() == 0
 
 
 def test_an_outlying_id_does_not_crowd_the_rest(spark):
