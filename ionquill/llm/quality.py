@@ -154,17 +154,24 @@ def _sampled(labels: DataFrame, id_col: str, label_col: str, bound: int, seed: i
     return known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)) < below)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = 3000, seed: int = 7) -> AttentionModel | None:
-    """The model, learned from whole texts of about ``bound`` labelled documents; None without labels.
+def _spread(bag: np.ndarray, most: int) -> np.ndarray:
+    """A bag's rows, or ``most`` of them from its first to its last."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).astype(np.int64)]
 
-    ``bound`` is the only sample here: it limits what reaches the driver, at
-    ``WIDTH`` floats a passage. Scoring reads every document.
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = 3000, seed: int = 7, passages: int = 128) -> AttentionModel | None:
+    """The model, learned from about ``bound`` labelled documents; None without labels.
+
+    A text of more than ``passages`` passages is learned from as many of them,
+    spread evenly over the whole text. These two bounds are the only samples
+    here: ``bound * passages * WIDTH`` floats reach the driver at most. Scoring
+    reads every passage of every document.
     """
     chosen = _sampled(labels, id_col, label_col, bound, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [passage_features(t).astype("<f4").tobytes() for t in batch.column(2).to_pylist()]
+            bags = [_spread(passage_features(t), passages).astype("<f4").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], names=["doc_id", "label", "bag"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -137,3 +137,13 @@ def test_rank_file_gives_the_tokenizer_s_ids():
     quick, whole = packing._tokenizer(JSON, RANKS, P.PATTERN), packing._tokenizer(JSON, None, None)
     for text in ["", " ", "a\r\n\n  b", "Größe ÀB c\xa0d 12345", "日本語 テスト", "don't <|endoftext|>x", "a" * 500, "\x00\x1f퟿", "🙂🙂 !!$$$"]:
         assert quick(text).tolist() == whole(text).tolist()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rank_file_gives_the_tokenizer_s_ids_on_any_text(seed):
+    quick, whole = packing._tokenizer(JSON, RANKS, P.PATTERN), packing._tokenizer(JSON, None, None)
+    rnd = random.Random(seed)
+    parts = ["a", "The", " ", "  ", "\n", "\r\n", "\t", "'s", "'LL", "9", "1234", "é", "é", "ß", "中文", "の", "🙂", "👩‍👧", " ", " ", "\u0000", "_", "...", "ﬁ", "İ", "नमस्ते"]
+    for _ in range(500):
+        text = "".join(rnd.choice(parts) if rnd.random() < 0.8 else chr(rnd.choice([rnd.randrange(32, 0xD800), rnd.randrange(0xE000, 0x110000)])) for _ in range(rnd.randrange(60)))
+        assert quick(text).tolist() == whole(text).tolist(), repr(text)

@@ -91,3 +91,18 @@ def test_empty_tables(spark):
     model = quality.train(docs, labels)
     assert [tuple(r) for r in quality.scores(docs, model).collect()] == [(1, zlib.crc32(b"1") % 3 == 1, 0.5, 1)]
     assert quality.scores(docs.limit(0), model).count() == 0
+
+
+def test_long_texts_are_learned_from_all_over():
+    bag = np.arange(1000.0).reshape(-1, 1)
+    some = quality._spread(bag, 128).ravel()
+    assert len(some) == len(set(some)) == 128 and some[0] == 0 and some[-1] == 999 and np.diff(some).max() <= 8
+    assert quality._spread(bag, 1000) is bag
+
+
+def test_training_is_bounded_by_passages(spark):
+    rnd = random.Random(3)
+    rows = [(k, " ".join([document(rnd, k % 2 == 0)] * 40), k % 2) for k in range(30)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(k, int(q == 0)) for k, _, q in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in quality.scores(docs, quality.train(docs, labels, passages=4)).collect()}
+    assert sum(got[k] == (k % 2 == 0) for k in got) >= 27
