@@ -12,7 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
     Where it is unset, a local master gets a temporary folder and any other
-    master a folder inside the warehouse, which a cluster shares.
+    master a folder inside a warehouse that lies on a file system of its own;
+    a warehouse on each machine's own disk is refused.
     """
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -21,7 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     if conf.get("spark.master", "").startswith("local"):
         named = "file://" + tempfile.mkdtemp(prefix="ionquill-")
     else:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_ionquill_work"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if "://" not in warehouse or warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        named = warehouse.rstrip("/") + "/_ionquill_work"
     spark.conf.set("spark.checkpoint.dir", named)
     return named
 
