@@ -238,17 +238,20 @@ def divergence(df: DataFrame, keys: list[str], symbol: str, is_first: Column) ->
     """Jensen-Shannon divergence (natural log) of two samples' symbols for each key, and each symbol's signed part of it.
 
     Columns: keys, symbol, ``p``, ``q``, ``part`` (positive where the first sample
-    has more of it; magnitudes add up to the divergence), ``divergence``.
+    has more of it; positive parts add up to the divergence, and so do the
+    magnitudes of negative ones), ``divergence``. A key that one sample lacks has
+    an infinite divergence, and NaN for the parts; its shares in that sample are null.
     """
     counts = df.groupBy(*keys, symbol).agg(F.count_if(is_first).alias("a"), F.count_if(~is_first).alias("b"))
     sums = counts.groupBy(*keys).agg(F.sum("a").alias("__a"), F.sum("b").alias("__b"))
     shares = counts.join(sums, keys).select(*keys, symbol, (F.col("a") / F.nullif(F.col("__a"), F.lit(0))).alias("p"), (F.col("b") / F.nullif(F.col("__b"), F.lit(0))).alias("q"))
-    shares = shares.fillna(0.0, ["p", "q"])
     m = (F.col("p") + F.col("q")) / 2
-    entropy = lambda x: F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)
-    raw = shares.withColumn("__raw", (entropy(F.col("p")) + entropy(F.col("q"))) / 2).withColumn("__way", F.when(F.col("p") >= F.col("q"), F.abs(F.col("__raw"))).otherwise(-F.abs(F.col("__raw"))))
-    per_key = raw.groupBy(*keys).agg(F.sum("__raw").alias("divergence"), F.sum(F.abs("__raw")).alias("__size"))
-    part = F.coalesce(F.col("__way") * F.col("divergence") / F.nullif(F.col("__size"), F.lit(0.0)), F.lit(0.0))
+    entropy = lambda x: F.when(m.isNull(), float("inf")).when(x > 0, x * F.ln(x / m)).otherwise(0.0)
+    raw = shares.withColumns({"__left": entropy(F.col("p")), "__right": entropy(F.col("q"))}).withColumn("__way", F.col("__left") - F.col("__right"))
+    more, less = F.greatest("__way", F.lit(0.0)), F.greatest(-F.col("__way"), F.lit(0.0))
+    per_key = raw.groupBy(*keys).agg((F.sum(F.col("__left") + F.col("__right")) / 2).alias("divergence"), F.sum(more).alias("__more"), F.sum(less).alias("__less"))
+    scale = F.when(F.col("__way") > 0, F.col("__more")).otherwise(F.col("__less"))
+    part = F.when(F.isnan("__way"), float("nan")).when(F.col("__way") == 0, 0.0).otherwise(F.col("divergence") * F.col("__way") / scale)
     return raw.join(per_key, keys).select(*keys, symbol, "p", "q", part.alias("part"), "divergence")
 
 

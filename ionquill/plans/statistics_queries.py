@@ -95,9 +95,9 @@ def q_theilsen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH c AS (SELECT l_shipmode_pos AS position, symbol, count(*) FILTER (f) AS a, count(*) FILTER (NOT f) AS b FROM (SELECT i - 1 AS l_shipmode_pos, substring(p_name, i, 1) AS symbol, p_size > 25 AS f FROM part, range(1, (SELECT max(length(p_name)) + 1 FROM part)) t(i) WHERE i <= length(p_name)) GROUP BY 1, 2),"
-    " s AS (SELECT position, symbol, a / sum(a) OVER (PARTITION BY position) AS p, b / sum(b) OVER (PARTITION BY position) AS q FROM c),"
-    " e AS (SELECT position, (CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2 AS x FROM s)"
-    " SELECT position::INTEGER AS position, round(sum(x), 6) AS divergence FROM e GROUP BY 1"
+    " s AS (SELECT position, symbol, a, b, a / sum(a) OVER (PARTITION BY position) AS p, b / sum(b) OVER (PARTITION BY position) AS q FROM c),"
+    " e AS (SELECT position, a, b, (CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2 AS x FROM s)"
+    " SELECT position::INTEGER AS position, CASE WHEN least(sum(a), sum(b)) = 0 THEN 'inf'::DOUBLE ELSE round(sum(x), 6) END AS divergence FROM e GROUP BY 1"
 )
 def q_js_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of the letters at each place between two kinds of parts, as a logo compares peptides."""
