@@ -117,18 +117,24 @@ def spread_retention_times(ms2: DataFrame, ms1: DataFrame, seconds: float = 60.0
 
     ``ms2`` has ``source``, ``scan``, ``precursor``, ``retentionTime``; ``ms1`` has
     spectra. Peaks count within ``seconds`` and ``width`` of the precursor; where
-    there are none the time stays. Both conditions are binned, so the join is an
-    equi-join.
+    there are none the time stays. Peaks of one time and mass are added up first,
+    and spectra of one time and precursor are asked for once, so repeated values
+    aren't expanded into pairs; pairs grow with the distinct values that lie within
+    both widths of each other. Both conditions are binned, so the join is an equi-join.
     """
     peaks = ms1.select("source", F.col("retentionTime").alias("t"), F.explode(F.arrays_zip("mzs", "intensities")).alias("p")).select("source", "t", F.col("p.mzs").alias("m"), F.col("p.intensities").alias("i"))
+    peaks = peaks.groupBy("source", "t", "m").agg(F.sum("i").alias("i"))
     cell = lambda t, m: (F.floor(t / seconds), F.floor(m / width))
     near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     t_bin, m_bin = cell(F.col("retentionTime"), F.col("precursor"))
-    asked = ms2.select("source", "scan", "precursor", "retentionTime", F.explode(near).alias("d")).select("*", (t_bin + F.col("d.a")).alias("tb"), (m_bin + F.col("d.b")).alias("mb"))
+    point = ["source", "precursor", "retentionTime"]
+    rows = ms2.select(*point, "scan")
+    asked = rows.select(*point).distinct().select("*", F.explode(near).alias("d")).select("*", (t_bin + F.col("d.a")).alias("tb"), (m_bin + F.col("d.b")).alias("mb"))
     t_own, m_own = cell(F.col("t"), F.col("m"))
     met = asked.join(peaks.select("*", t_own.alias("tb"), m_own.alias("mb")), ["source", "tb", "mb"])
     met = met.where((F.abs(F.col("t") - F.col("retentionTime")) < seconds) & (F.abs(F.col("m") - F.col("precursor")) < width))
-    means = met.groupBy("source", "scan").agg((F.sum(F.col("t") * F.col("i")) / F.nullif(F.sum("i"), F.lit(0.0))).alias("__rt"))
+    sums = met.groupBy(*point).agg(F.sum(F.col("t") * F.col("i")).alias("ti"), F.sum("i").alias("i"))
+    means = rows.join(sums, point).groupBy("source", "scan").agg((F.sum("ti") / F.nullif(F.sum("i"), F.lit(0.0))).alias("__rt"))
     return ms2.join(means, ["source", "scan"], "left").withColumn("retentionTime", F.coalesce("__rt", "retentionTime")).drop("__rt")
 
 
