@@ -244,10 +244,10 @@ def q_spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT a.p_partkey AS p_partkey, count(*) AS n_isobaric FROM m a JOIN m b ON a.mw = b.mw WHERE a.p_partkey <> b.p_partkey GROUP BY 1"
 )
 def q_isobaric_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ionquill.operators.relational import isobaric_join
+    from ionquill.operators.relational import isobaric_counts
     from ionquill.plans.epitopes import residue_mass
 
     m = fitting(spark, sf_dir).select("p_partkey", residue_mass(F.col("s")).alias("mw"))
-    return isobaric_join(m, m, "mw").where("p_partkey <> other_p_partkey").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_isobaric"))
+    return isobaric_counts(m, "p_partkey", "mw")
 
 

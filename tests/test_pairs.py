@@ -6,6 +6,7 @@ import random
 import duckdb
 import pytest
 
+from ionquill.operators import relational as R
 from ionquill.plans import catalog
 from ionquill.sources.spectra import spread_retention_times
 
@@ -65,3 +66,19 @@ def test_times_equal_plain_means(spark):
         weight = sum(i for _, i in met)
         want = sum(t * i for t, i in met) / weight if weight else own
         assert got[n] == want or math.isclose(got[n], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_isobaric_counts_without_pairs(spark, folder):
+    rows, joined = most_joined(catalog.queries()["q_isobaric_peptides"](spark, str(folder)))
+    same_as_sql("q_isobaric_peptides", folder, rows)
+    # 400 parts of one mass, 200 of another: 199,400 pairs of rows
+    assert joined <= 600
+
+
+def test_isobaric_counts_equal_the_join(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice([None, *range(30)]), rnd.choice([None, 1.0, 1.004, 1.006, 2.0, 900.0 + k])) for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, mw double")
+    pairs = R.isobaric_join(df, df, "mw").where("k <> other_k").groupBy("k").count()
+    assert sorted(R.isobaric_counts(df, "k", "mw").collect()) == sorted(pairs.collect())
+    assert sorted(R.isobaric_counts(df, "k", "mw", 1, "n").collect()) == sorted(R.isobaric_join(df, df, "mw", 1).where("k <> other_k").groupBy("k").count().collect())
