@@ -149,13 +149,18 @@ def possible(rows: DataFrame, sets: DataFrame, place: list[str], words: int = WO
     return rows.join(left, place).select("key", "text", "fp").mapInArrow(_whole(words), "key long, own array<long>, fp long")
 
 
-def rare_links(sets: DataFrame) -> DataFrame:
-    """Links u, v whose components hold every pair of similar sets."""
+def rare_links(sets: DataFrame, limit: int) -> DataFrame:
+    """Links u, v of sets whose fingerprints differ in more than ``limit`` bits.
+
+    With the links of all that differ in ``limit`` or fewer, which are for the
+    caller to bring, their components hold every pair of similar sets.
+    """
     each = sets.select("key", F.size("own").alias("n"), F.explode("own").alias("shingle"))
     shared = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where(F.col("df") > 1)
-    own = shared.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    own = shared.groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared")).join(sets.select("key", "fp"), "key")
     # the rarest n - least + 1, of which those that no other set holds come first and can be left out
     take = (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - (F.col("n") - F.size("shared"))).cast("int")
-    rare = own.withColumn("take", take).where(F.col("take") > 0).select("key", F.explode(F.slice("shared", 1, F.col("take"))).alias("s")).select("key", "s.shingle")
-    least = F.min("key").over(Window.partitionBy("shingle"))
-    return rare.select(F.col("key").alias("u"), least.alias("v")).where(F.col("u") != F.col("v")).distinct()
+    rare = own.withColumn("take", take).where(F.col("take") > 0).select("key", "fp", F.explode(F.slice("shared", 1, F.col("take"))).alias("s")).select("key", "fp", "s.shingle")
+    met = rare.withColumn("least", F.min(F.struct("key", "fp")).over(Window.partitionBy("shingle")))
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) > limit
+    return met.where(far).select(F.col("key").alias("u"), F.col("least.key").alias("v")).distinct()

@@ -70,6 +70,29 @@ def test_stage_finds_copies_that_differ_in_many_bits(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == [2 * k for k in range(8)]
 
 
+def test_each_path_brings_its_own_links(spark, monkeypatch):
+    rnd, pairs = random.Random(12), {"near": [], "far": []}
+    while min(map(len, pairs.values())) < 4:
+        a = [f"t{rnd.randrange(900)}" for _ in range(rnd.choice([120, 400]))]
+        b = list(a)
+        b[60] = f"t{rnd.randrange(900)}"
+        x, y = " ".join(a), " ".join(b)
+        bits = (simhash.text_fingerprint(x) ^ simhash.text_fingerprint(y)).bit_count()
+        own = pairs["far" if bits > 3 else "near"]
+        if x != y and bits and len(own) < 4:
+            own.append((x, y))
+    rows = [(8 * far + 2 * k + i, t) for far, kind in enumerate(("near", "far")) for k, pair in enumerate(pairs[kind]) for i, t in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = lambda: sorted(r["doc_id"] for r in simhash.keep_one(docs).collect())
+    assert kept() == [0, 2, 4, 6, 8, 10, 12, 14]
+    with monkeypatch.context() as m:  # without the index the pairs within three bits are lost, those alone
+        m.setattr(simhash, "near_links", lambda fps, limit, hot: fps.select(fps.fp.alias("u"), fps.fp.alias("v")).where("false"))
+        assert kept() == [*range(8), 8, 10, 12, 14]
+    with monkeypatch.context() as m:  # without the rare runs the others
+        m.setattr(simhash.shingles, "rare_links", lambda sets, limit: sets.select(sets.key.alias("u"), sets.key.alias("v")).where("false"))
+        assert kept() == [0, 2, 4, 6, *range(8, 16)]
+
+
 def test_clusters_follow_chains():
     sets = [np.arange(k, k + 30) for k in (0, 100, 3, 6, 200, 9)]
     assert shingles.clusters(np.array([len(s) for s in sets]), np.concatenate(sets)).tolist() == [0, 1, 0, 0, 4, 0]
